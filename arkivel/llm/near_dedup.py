@@ -24,7 +24,7 @@ from .common import materialize
 from .components import components
 from .texts import MIX1, MIX2, mix, shingle_sets
 
-BANDS, ROWS, WIDTH, PERCENT = 28, 6, 5, 80
+BANDS, ROWS, WIDTH, PERCENT = 32, 5, 5, 80
 
 
 @cache

@@ -275,3 +275,16 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return docs.select("doc_id", "text").mapInArrow(score, "doc_id long, score double, predicted int")
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, all columns as they are, whose score is below 0.5."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [sent.value.scores(first, buckets) for _, _, first, buckets in features(batch.column(at))]
+            yield batch.filter(pa.array(np.concatenate(parts) < 0.5 if parts else np.zeros(0, bool)))
+
+    return docs.mapInArrow(keep, docs.schema)
