@@ -60,6 +60,12 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compared(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents"), with_bytes=False)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import sharded, tree
 
@@ -73,7 +79,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_dedup, op2_toxicity, op3_best_fit_packing, op4_exact_dedup, op5_line_dedup, op6_mixing, op7_fingerprints, op9_sharding, op10_lm_scoring)
+    f.__name__: f for f in (op1_near_dedup, op2_toxicity, op3_best_fit_packing, op4_exact_dedup, op5_line_dedup, op6_mixing, op7_fingerprints, op8_suffix_dedup, op9_sharding, op10_lm_scoring)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
