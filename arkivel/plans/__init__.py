@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    from . import data, graph  # noqa: F401  the modules register their queries
+
+    return dict(graph.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import data, graph  # noqa: F401
+
+    return dict(graph.ORACLES)
