@@ -77,7 +77,7 @@ def header_key(header: Column | str) -> Column:
 
 def repeatable(value: Column | str) -> Column:
     """Parts between semicolons, trimmed, without blanks and the word null."""
-    return F.filter(F.transform(F.split(F.coalesce(_col(value), F.lit("")), ";"), F.trim), lambda x: (x != "") & (F.lower(x) != "null"))
+    return F.filter(F.transform(F.split(F.coalesce(_col(value), F.lit("")), ";"), lambda x: F.trim(x)), lambda x: (x != "") & (F.lower(x) != "null"))
 
 
 def picked_label(labels: DataFrame, lang: str, by: str = "s") -> DataFrame:

@@ -48,6 +48,7 @@ def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) ->
 
     A frontier joins the edges, what was seen goes, until nothing is new; each round is written, so lineage stays short.
     """
+    edges = checkpointed(edges.select("a", "b"))  # each round reads them
     seen = checkpointed(seeds.select(F.col("node").alias("root"), "node").distinct().withColumn("depth", F.lit(0)))
     frontier, depth = seen, 0
     while max_depth is None or depth < max_depth:
