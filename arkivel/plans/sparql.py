@@ -453,13 +453,12 @@ class Engine:
 
     def pairs(self, p: tuple, s: tuple) -> DataFrame:
         """Distinct (s, s_kind, o, o_kind) of a path."""
-        flip = {"s": "o", "s_kind": "o_kind", "o": "s", "o_kind": "s_kind"}
         if p[0] == "iri":
             return self.triples.where(F.col("p") == p[1]).select("s", "s_kind", "o", "o_kind")
         if p[0] == "not":
             return self.triples.where(~F.col("p").isin(p[1])).select("s", "s_kind", "o", "o_kind")
         if p[0] == "inverse":
-            return self.pairs(p[1], ("none",)).withColumnsRenamed(flip).select("s", "s_kind", "o", "o_kind")
+            return self.pairs(p[1], ("none",)).select(F.col("o").alias("s"), F.col("o_kind").alias("s_kind"), F.col("s").alias("o"), F.col("s_kind").alias("o_kind"))
         if p[0] == "alt":
             return reduce(lambda a, b: a.unionByName(b), [self.pairs(x, ("none",)) for x in p[1]])
         if p[0] == "seq":
