@@ -41,7 +41,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     rows = rows.withColumn("caps", F.coalesce(F.sum("cap").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
     rows = rows.withColumn("rest", F.sum("weight").over(order.rowsBetween(0, W.unboundedFollowing)))
     rows = rows.withColumn("level", (F.col("total") - F.col("caps")) / F.col("rest"))  # if all before are capped, and none from here on
-    level = F.min(F.when(F.col("level") <= F.col("key"), F.struct("key", "level"))).over(everything)["level"]
+    rows = rows.withColumn("nth", F.row_number().over(order))
+    level = F.min(F.when(F.col("level") <= F.col("key"), F.struct("nth", "level"))).over(everything)["level"]  # of the first not to be capped
     return rows.withColumn("found", level).select("source", "source_size", F.when(F.col("found").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("found") * F.col("weight"))).alias("target"))
 
 
