@@ -180,3 +180,24 @@ def csv_sink(spark, sf_dir):
     from ..sources.sinks import csv_lines
 
     return csv_lines(READ(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"))
+
+
+@query("SELECT p_partkey, p_size::DOUBLE AS ibm, (p_size::DOUBLE * 2)::DOUBLE AS mil, -p_size::BIGINT AS ones, -p_size::BIGINT AS magnitude FROM part")
+def physical_numbers(spark, sf_dir):
+    """Sizes written as IBM and MIL-STD-1750A reals and as negative integers of two conventions, and read again."""
+    from ..functions import east
+
+    word = lambda c, n: F.unhex(F.lpad(F.hex(c), 2 * n, "0"))
+    size = F.col("p_size").cast("bigint")
+    rows = READ(spark, sf_dir, "part").select("p_partkey", F.concat(F.unhex(F.lit("46")), word(size, 3)).alias("ibm"), F.concat(word(size, 3), F.unhex(F.lit("18"))).alias("mil"), word(F.lit(0xFFFF) - size, 2).alias("ones"), word(F.lit(0x8000) + size, 2).alias("magnitude"))
+    return rows.select("p_partkey", east.real_column(F.col("ibm"), east.IBM32).alias("ibm"), east.real_column(F.col("mil"), east.MIL32).alias("mil"), east.integer_column(F.col("ones"), ((0, 15),), "ones_complement").alias("ones"), east.integer_column(F.col("magnitude"), ((0, 7), (8, 15)), "sign_and_magnitude").alias("magnitude"))
+
+
+@query("SELECT component, CASE WHEN component = 'hasFixityInformation' THEN CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END WHEN component = 'hasAccessRightsInformation' THEN 0 ELSE 1 END::BIGINT AS n, count(*) AS packages FROM documents, (VALUES ('hasContentInformation'), ('hasPreservationDescriptiveInformation'), ('hasFixityInformation'), ('hasReferenceInformation'), ('hasProvenanceInformation'), ('hasContextInformation'), ('hasAccessRightsInformation'), ('describedBy')) c(component) GROUP BY ALL")
+def package_build(spark, sf_dir):
+    from ..operators import aip
+    from ..sources.triples import iri
+
+    docs = READ(spark, sf_dir, "documents")
+    objects = docs.select(iri("document", "doc_id").alias("iri"), F.concat(F.lit("doc "), "doc_id").alias("name"), F.when(F.expr("doc_id % 2 = 0"), F.sha2(F.col("text").cast("binary"), 256)).alias("sha256"), F.octet_length("text").alias("size"), F.lit("file:///x").alias("location"), F.lit("c").alias("context"), F.lit(None).cast("string").alias("rights"), F.lit("me").alias("recorded_by"), F.lit("2020-01-01").alias("recorded_at"))
+    return aip.checked(aip.build(objects)).groupBy("component", F.col("n").cast("bigint").alias("n")).agg(F.count("*").alias("packages"))
