@@ -13,6 +13,12 @@ def _smallest(edges: DataFrame) -> DataFrame:
     return materialize(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "star")
 
 
+def _stars(pairs: DataFrame) -> bool:
+    """Whether every edge leads from a node with no other edge to the root of its star."""
+    ends = pairs.select("u", F.lit(1).alias("n")).union(pairs.select(F.col("v").alias("u"), F.lit(0).alias("n")))
+    return ends.groupBy("u").agg(F.sum("n").alias("up"), F.min("n").alias("low")).where("up > 1 or up = 1 and low = 0").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a, b); component is the smallest node reachable.
 
@@ -20,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
     written tables, none on the driver. Self-links and repeated links are allowed; no edges give no rows.
     """
     pairs = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    while True:
+    while not _stars(pairs):
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = _smallest(both)
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -29,10 +35,6 @@ def components(edges: DataFrame) -> DataFrame:
         moved = large.join(low, "u")
         small = moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.where("u <> m").select("u", F.col("m").alias("v"))).distinct()
         small = materialize(small, "small")
-        # Done when all edges lead from a node to its root: no node is both below and above another.
-        if small.join(small.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
-            if small.groupBy("u").count().where("count > 1").isEmpty():
-                break
         pairs = small
-    roots = small.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return small.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

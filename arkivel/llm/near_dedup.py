@@ -2,11 +2,14 @@
 
 One hash of each shingle serves all bins of a signature (one permutation); an empty bin copies a filled bin that a
 bin-specific random order of all bins names first (optimal densification). Texts of equal shingle sets are one class
-from then on, so copies cost nothing. Classes that agree on a band share a bucket. In each round a bucket gives star
-edges: from a few centres to its other members, never all pairs. The full shingle sets confirm an edge; buckets whose
-members are then in one component are done. In the others, members that were no centre yet stay, and the number of
-centres doubles each round, so that every pair of a bucket is either tested or already connected at the end: nothing
-is capped, and no link between members of a bucket is lost.
+from then on, so copies cost nothing. Classes that agree on a band share a bucket, and a bucket gives star edges only:
+from its member of fewest shingles, the centre, to the others. The full shingle sets confirm an edge.
+
+Members that are not linked to their centre may be linked to each other. The symmetric difference of two members is that
+of their differences from the centre; so if they are linked, and not to the centre, these differences have at least a
+third in common, while those of members that are far from each other have little. So the differences are hashed into
+bands in their turn, members that agree on one meet again without the centre, and so on until no new pair meets. The
+number of pairs stays in proportion to that of bucket entries, and no bucket or number of partners is capped.
 """
 
 from __future__ import annotations
@@ -24,7 +27,9 @@ from .common import materialize
 from .components import components
 from .texts import MIX1, MIX2, mix, shingle_sets
 
-BANDS, ROWS, WIDTH, PERCENT = 32, 5, 5, 80
+BANDS, ROWS, WIDTH, PERCENT = 48, 7, 5, 80
+#: Bands for what members and their centre differ in; two linked members that are apart from it have a third of that in common.
+APART_BANDS, APART_ROWS = 40, 2
 
 
 @cache
@@ -85,14 +90,25 @@ def _sets(width: int):
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sizes of intersection and union of two sorted sets a row."""
+    """Sizes of intersection and union of a centre and a member, and band keys of what the two differ in.
+
+    The keys hold the centre as well: they bring together members that differ from one centre in like ways.
+    """
     for batch in batches:
-        both = []
-        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+        both, union, keys = [], [], []
+        for c, x, y in zip(batch.column("centre").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
             x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            at = np.searchsorted(y, x)
-            both.append(int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both, pa.int64())], ["a", "b", "common"])
+            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            same = y[at] == x
+            both.append(int(same.sum()))
+            union.append(len(x) + len(y) - both[-1])
+            other = np.ones(len(y), bool)
+            other[at[same]] = False
+            apart = np.sort(mix(np.concatenate([x[~same], y[other]]) ^ MIX2))
+            keys.append(band_keys(signature(apart, APART_BANDS * APART_ROWS), APART_BANDS, APART_ROWS) ^ np.int64(c * 0x9E3779B1 & 0x7FFFFFFFFFFFFFFF) if len(apart) else np.zeros(0, np.int64))
+        ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+        flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("centre"), batch.column("rep"), batch.column("n"), pa.array(both, pa.int64()), pa.array(union, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["centre", "rep", "n", "common", "whole", "apart"])
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
@@ -117,40 +133,42 @@ def class_links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, wid
     if active.isEmpty():
         return None
     needed = active.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(needed, "doc_id", "left_semi")
+    texts = docs.select("doc_id", "text").join(needed.hint("merge"), "doc_id", "left_semi")  # ids grow with the input: no broadcast
     sets = materialize(texts.mapInArrow(_sets(width), "rep long, hashes binary"), "sets")
     tested = links = labels = None
-    slots = 1
     while True:
         now = _labelled(active, labels)
-        mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
         if labels is not None:
+            mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
             now = now.join(mixed, "key", "left_semi")
         now = materialize(now, "open")
-        if now.isEmpty():
-            break
-        # In the first round the smallest member is the centre, later a random one in each of the slots.
-        place = F.lit(0) if slots == 1 else F.pmod(F.xxhash64("rep", F.lit(slots)), F.lit(slots)).cast("int")
-        order = F.struct(F.col("rep").alias("h"), "rep", "n", "comp") if slots == 1 else F.struct(F.xxhash64("rep", F.lit(-slots)).alias("h"), "rep", "n", "comp")
-        centres = now.groupBy("key", place.alias("slot")).agg(F.min(order).alias("c"))
+        centres = now.groupBy("key").agg(F.min(F.struct("n", "rep", "comp")).alias("c"))  # the one of fewest shingles
         centres = materialize(centres.select("key", F.col("c.rep").alias("centre"), F.col("c.n").alias("cn"), F.col("c.comp").alias("cc")), "centres")
         fits = F.greatest("n", "cn") * percent <= F.least("n", "cn") * 100  # else the sizes alone rule a link out
-        stars = now.join(centres, "key").where((F.col("comp") != F.col("cc")) & fits)
-        pairs = stars.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+        around = now.join(centres, "key").where(F.col("rep") != F.col("centre"))
+        pairs = around.where((F.col("comp") != F.col("cc")) & fits).select("centre", "rep", "n").distinct()
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = pairs.join(tested, ["centre", "rep"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        left = sets.select(F.col("rep").alias("a"), F.col("hashes").alias("x"))
-        right = sets.select(F.col("rep").alias("b"), F.col("hashes").alias("y"))
-        common = pairs.join(left, "a").join(right, "b").mapInArrow(_compare, "a long, b long, common long")
-        sizes = sets.select(F.col("rep"), (F.length("hashes") / 8).cast("long").alias("n"))
+        # Those too large for the centre meet again without it, and with those of its component that are not too small for them.
+        large = materialize(around.where((F.col("comp") != F.col("cc")) & ~fits).select("key", "rep", "n"), "large")
+        least = large.groupBy("key").agg(F.min("n").alias("least"))
+        own = around.where(F.col("comp") == F.col("cc")).join(least, "key").where(F.col("n") * 100 >= F.col("least") * percent)
+        rest = large.union(own.select("key", "rep", "n"))
+        if pairs.isEmpty() and large.isEmpty():
+            break
+        left = sets.select(F.col("rep").alias("centre"), F.col("hashes").alias("x"))
+        common = pairs.join(left, "centre").join(sets.withColumnRenamed("hashes", "y"), "rep")
+        common = common.mapInArrow(_compare, "centre long, rep long, n long, common long, whole long, apart array<long>")
         common = materialize(common, "common")
-        found = common.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b").where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b")
-        links = found if links is None else links.union(found)
-        tested = pairs if tested is None else tested.union(pairs)
-        labels = materialize(components(links), "labels")
-        active = now.select("key", "rep", "n").join(centres.select("key", F.col("centre").alias("rep")), ["key", "rep"], "left_anti")
-        slots *= 2
+        found = materialize(common.where(F.col("common") * 100 >= F.col("whole") * percent).select(F.col("centre").alias("a"), F.col("rep").alias("b")), "links")
+        tested = pairs.select("centre", "rep") if tested is None else tested.union(pairs.select("centre", "rep"))
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            labels = materialize(components(links), "labels")
+        active = materialize(rest.union(common.select(F.explode("apart").alias("key"), "rep", "n")).distinct(), "active")
+        shared = active.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+        active = active.join(shared, "key").select("key", "rep", "n")
     return labels
 
 
