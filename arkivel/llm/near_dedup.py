@@ -29,7 +29,7 @@ from .texts import MIX1, MIX2, mix, shingle_sets
 
 BANDS, ROWS, WIDTH, PERCENT = 48, 7, 5, 80
 #: Bands for what members and their centre differ in; two linked members that are apart from it have a third of that in common.
-APART_BANDS, APART_ROWS = 40, 2
+APART_BANDS, APART_ROWS = 48, 3
 
 
 @cache
