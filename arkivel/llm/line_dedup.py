@@ -56,7 +56,7 @@ def repeated_chunks(docs: DataFrame, window: int = WINDOW, mean: int = MEAN, lea
     wanted = again.groupBy("row_key").agg(F.collect_list(F.struct("start", "length", "digest", "is_first")).alias("wanted"))
     wanted = materialize(wanted, "wanted")
     lines = F.split("text", "\n", -1)
-    found = rows.join(wanted, "row_key").select("doc_id", "row_key", lines.alias("lines"), F.explode("wanted").alias("w"))
+    found = rows.join(wanted.hint("merge"), "row_key").select("doc_id", "row_key", lines.alias("lines"), F.explode("wanted").alias("w"))
     found = found.select("doc_id", "row_key", "w.*", F.array_join(F.slice("lines", F.col("w.start") + 1, F.col("w.length")), "\n").alias("body"))
     found = materialize(found, "bodies")
     source = found.where("is_first").select("digest", F.col("body").alias("first_body")).dropDuplicates(["digest"])
@@ -74,7 +74,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, mean: int = MEAN, lea
     """
     spans = materialize(repeated_chunks(docs, window, mean, least), "spans").withColumnsRenamed({"row_key": "__key", "spans": "__spans"})
     keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    out = keyed.join(spans, F.col("__row") == F.col("__key"), "left")
+    out = keyed.join(spans.hint("merge"), F.col("__row") == F.col("__key"), "left")
     none = F.col("__spans").isNull() | F.col("text").isNull()
     lines = F.split("text", "\n", -1)
     return out.select(
