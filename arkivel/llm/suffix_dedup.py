@@ -159,7 +159,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     size = classes.agg(F.sum("at.length")).first()[0] or 0
     shards = max(8, -(-size // SHARD_BYTES))
     wanted = classes.groupBy(F.col("at.row_key").alias("row_key")).agg(F.collect_list(F.struct(*key, F.col("at.start").alias("start"), F.col("at.length").alias("length"))).alias("wanted"))
-    bodies = rows.join(wanted, "row_key").select("text", "wanted").mapInArrow(_cut, "anchor long, one long, two long, body binary")
+    bodies = rows.join(wanted.hint("merge"), "row_key").select("text", "wanted").mapInArrow(_cut, "anchor long, one long, two long, body binary")
     sorted_ = bodies.repartition(shards, "anchor").mapInArrow(_shard(length), "anchor long, one long, two long, from_ array<int>, to_ array<int>")
     apart = materialize(sorted_, "sorted").groupBy(*key).agg(F.first("from_").alias("from_"), F.first("to_").alias("to_"))
     width = F.array((F.col("at.length") - length + 1).cast("int"))
@@ -213,5 +213,5 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, wit
     """
     found = repeated_spans(docs, length, gram)
     strip = _stripped(length, ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept", "removed"] * with_bytes])
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key")).join(found, "row_key", "left").select("doc_id", "text", "starts")
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key")).join(found.hint("merge"), "row_key", "left").select("doc_id", "text", "starts")
     return rows.mapInArrow(strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, removed array<array<bigint>>" * with_bytes)
