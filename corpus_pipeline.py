@@ -40,7 +40,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from arkivel.llm.near_dedup import near_duplicates
 
     kept = materialize(near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")), "kept")
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
+    out = docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
     if not kept.where("__n > 1 and __id is not null").isEmpty():  # rows that repeat doc_id and text are one document
         again = F.row_number().over(W.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
         out = out.withColumn("__again", again).where("__again = 1 or doc_id is null").drop("__again")
@@ -58,7 +58,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     else:
         rows = rows.withColumn("__k", F.row_number().over(W.partitionBy("doc_id", "source", "__words").orderBy(F.xxhash64("text"))))
     on = rows["doc_id"].eqNullSafe(taken["__id"]) & rows["source"].eqNullSafe(taken["__source"]) & (rows["__words"] == taken["__size"]) & (rows["__k"] == taken["__nth"])
-    return rows.join(taken, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    return rows.join(taken.hint("merge"), on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
