@@ -8,8 +8,9 @@ from its member of fewest shingles, the centre, to the others. The full shingle
 Members that are not linked to their centre may be linked to each other. The symmetric difference of two members is that
 of their differences from the centre; so if they are linked, and not to the centre, these differences have at least a
 third in common, while those of members that are far from each other have little. So the differences are hashed into
-bands in their turn, members that agree on one meet again without the centre, and so on until no new pair meets. The
-number of pairs stays in proportion to that of bucket entries, and no bucket or number of partners is capped.
+bands in their turn, members that agree on one meet again without the centre, and so on until no new pair meets. Every
+member of a bucket of several components gets these keys, whether linked with the centre or not and whenever it was
+compared, and stays under them for good. No bucket or number of partners is capped.
 """
 
 from __future__ import annotations
@@ -92,11 +93,12 @@ def _sets(width: int):
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sizes of intersection and union of a centre and a member, and band keys of what the two differ in.
 
-    The keys hold the centre as well: they bring together members that differ from one centre in like ways.
+    The keys hold the centre as well: they bring together members that differ from one centre in like ways. Pairs from
+    buckets of two only (not wide) need none.
     """
     for batch in batches:
         both, union, keys = [], [], []
-        for c, x, y in zip(batch.column("centre").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
+        for c, wide, x, y in zip(batch.column("centre").to_pylist(), batch.column("wide").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
             x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
             at = np.minimum(np.searchsorted(y, x), len(y) - 1)
             same = y[at] == x
@@ -105,7 +107,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             other = np.ones(len(y), bool)
             other[at[same]] = False
             apart = np.sort(mix(np.concatenate([x[~same], y[other]]) ^ MIX2))
-            keys.append(band_keys(signature(apart, APART_BANDS * APART_ROWS), APART_BANDS, APART_ROWS) ^ np.int64(c * 0x9E3779B1 & 0x7FFFFFFFFFFFFFFF) if len(apart) else np.zeros(0, np.int64))
+            keys.append(band_keys(signature(apart, APART_BANDS * APART_ROWS), APART_BANDS, APART_ROWS) ^ np.int64(c * 0x9E3779B1 & 0x7FFFFFFFFFFFFFFF) if wide and len(apart) else np.zeros(0, np.int64))
         ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
         flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("centre"), batch.column("rep"), batch.column("n"), pa.array(both, pa.int64()), pa.array(union, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["centre", "rep", "n", "common", "whole", "apart"])
@@ -135,40 +137,32 @@ def class_links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, wid
     needed = active.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").join(needed.hint("merge"), "doc_id", "left_semi")  # ids grow with the input: no broadcast
     sets = materialize(texts.mapInArrow(_sets(width), "rep long, hashes binary"), "sets")
-    tested = links = labels = None
+    fresh, tested, links, labels = active, None, None, None
     while True:
-        now = _labelled(active, labels)
-        if labels is not None:
-            mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-            now = now.join(mixed, "key", "left_semi")
-        now = materialize(now, "open")
-        centres = now.groupBy("key").agg(F.min(F.struct("n", "rep", "comp")).alias("c"))  # the one of fewest shingles
-        centres = materialize(centres.select("key", F.col("c.rep").alias("centre"), F.col("c.n").alias("cn"), F.col("c.comp").alias("cc")), "centres")
-        fits = F.greatest("n", "cn") * percent <= F.least("n", "cn") * 100  # else the sizes alone rule a link out
-        around = now.join(centres, "key").where(F.col("rep") != F.col("centre"))
-        pairs = around.where((F.col("comp") != F.col("cc")) & fits).select("centre", "rep", "n").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["centre", "rep"], "left_anti")
+        # Buckets with new members; all others were settled when they last had some, as components only grow together.
+        now = active if tested is None else active.join(fresh.select("key").distinct(), "key", "left_semi")
+        now = materialize(_labelled(now, labels), "open")
+        stars = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("n", "rep")).alias("c"), F.count("*").alias("members"))
+        centres = materialize(stars.where("lo < hi").select("key", F.col("c.rep").alias("centre"), (F.col("members") > 2).alias("wide")), "centres")
+        # Every member is compared, also those linked with the centre: others may be linked to them alone.
+        pairs = now.join(centres, "key").where("rep <> centre").groupBy("centre", "rep", "n").agg(F.max("wide").alias("wide"))
+        if tested is not None:  # a pair is compared again only if it had no keys and now needs them
+            seen = tested.select(F.col("centre").alias("c"), F.col("rep").alias("r"), F.col("wide").alias("keyed"))
+            pairs = pairs.join(seen, (F.col("centre") == F.col("c")) & (F.col("rep") == F.col("r")) & (F.col("keyed") | ~F.col("wide")), "left_anti")
         pairs = materialize(pairs, "pairs")
-        # Those too large for the centre meet again without it, and with those of its component that are not too small for them.
-        large = materialize(around.where((F.col("comp") != F.col("cc")) & ~fits).select("key", "rep", "n"), "large")
-        least = large.groupBy("key").agg(F.min("n").alias("least"))
-        own = around.where(F.col("comp") == F.col("cc")).join(least, "key").where(F.col("n") * 100 >= F.col("least") * percent)
-        rest = large.union(own.select("key", "rep", "n"))
-        if pairs.isEmpty() and large.isEmpty():
+        if pairs.isEmpty():
             break
         left = sets.select(F.col("rep").alias("centre"), F.col("hashes").alias("x"))
         common = pairs.join(left, "centre").join(sets.withColumnRenamed("hashes", "y"), "rep")
         common = common.mapInArrow(_compare, "centre long, rep long, n long, common long, whole long, apart array<long>")
         common = materialize(common, "common")
         found = materialize(common.where(F.col("common") * 100 >= F.col("whole") * percent).select(F.col("centre").alias("a"), F.col("rep").alias("b")), "links")
-        tested = pairs.select("centre", "rep") if tested is None else tested.union(pairs.select("centre", "rep"))
+        tested = pairs if tested is None else tested.union(pairs)
         if not found.isEmpty():
             links = found if links is None else links.union(found)
             labels = materialize(components(links), "labels")
-        active = materialize(rest.union(common.select(F.explode("apart").alias("key"), "rep", "n")).distinct(), "active")
-        shared = active.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-        active = active.join(shared, "key").select("key", "rep", "n")
+        fresh = common.select(F.explode("apart").alias("key"), "rep", "n")
+        active = active.union(fresh)
     return labels
 
 

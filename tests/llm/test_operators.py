@@ -65,6 +65,19 @@ def test_links_within_a_bucket_are_never_lost(spark):
     assert got.set_index("doc_id").component_id.to_dict() == want
 
 
+@pytest.mark.parametrize("spans", [[(900, 950), (0, 400), (30, 430), (60, 460)], [(0, 300), (60, 400), (60, 420)]])
+def test_members_stay_in_their_bucket(spark, monkeypatch, spans):
+    """Texts of one bucket: B is linked to A alone, which is in the centre's component by another bucket; or B is too large for the centre, A apart from it."""
+    bands = F.when(F.col("doc_id").isin(1, 2) & F.lit(len(spans) > 3), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))).cast("array<long>")
+    sketched = lambda docs, *_: docs.select("doc_id", (F.size(F.split("text", " ")) - 4).cast("long").alias("n_shingles"), F.md5("text").cast("binary").alias("digest"), bands.alias("bands"))
+    monkeypatch.setattr(near_dedup, "sketches", sketched)
+    texts = [(i, " ".join(f"w{k}" for k in range(*s))) for i, s in enumerate(spans)]
+    want = components({d: shingles(t) for d, t in texts}, 85)
+    assert len(set(want.values())) == 2 and want[len(spans) - 1] == want[len(spans) - 2] == 1
+    got = near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), 85).toPandas()
+    assert got.set_index("doc_id").component_id.to_dict() == want
+
+
 def test_signature_is_unbiased():
     rng = np.random.default_rng(1)
     off = []
