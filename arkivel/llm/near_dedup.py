@@ -5,12 +5,15 @@ bin-specific random order of all bins names first (optimal densification). Texts
 from then on, so copies cost nothing. Classes that agree on a band share a bucket, and a bucket gives star edges only:
 from its member of fewest shingles, the centre, to the others. The full shingle sets confirm an edge.
 
-Members that are not linked to their centre may be linked to each other. The symmetric difference of two members is that
-of their differences from the centre; so if they are linked, and not to the centre, these differences have at least a
-third in common, while those of members that are far from each other have little. So the differences are hashed into
-bands in their turn, members that agree on one meet again without the centre, and so on until no new pair meets. Every
-member of a bucket of several components gets these keys, whether linked with the centre or not and whenever it was
-compared, and stays under them for good. No bucket or number of partners is capped.
+Members that are not linked to their centre may be linked to each other. At most 100 - percent per cent of a member's
+shingles are missing in one that it is linked to; and of two linked members, one of them not linked to a centre of no
+more shingles, some shingle outside the centre is in both. So among the shingles of a member outside the centre, in the
+order of their hashes, the first of those it shares stands within the first (100 - percent) per cent of its size, plus
+one. These few shingles are its keys: linked members always meet again under one of them, without the centre, and so on
+until no new pair is compared. The filter is exact: within a bucket no link is lost, and only the bands of the signature
+leave anything to chance. Every member of a large bucket of several components gets these keys, whether linked with the
+centre or not and whenever it was compared, and stays under them for good. A bucket that fits into a task is settled
+there by the same filter, with the rarest shingles first. No bucket or number of partners is capped.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ from .components import components
 from .texts import MIX1, MIX2, mix, shingle_sets
 
 BANDS, ROWS, WIDTH, PERCENT = 48, 7, 5, 80
-#: Bands for what members and their centre differ in; two linked members that are apart from it have a third of that in common.
-APART_BANDS, APART_ROWS = 48, 3
+#: A bucket of so many shingles at most is settled within one task once its centre is done; larger ones are split by keys.
+TASK_SHINGLES = 1 << 20
 
 
 @cache
@@ -90,27 +93,71 @@ def _sets(width: int):
     return sets
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sizes of intersection and union of a centre and a member, and band keys of what the two differ in.
+def prefix_keys(centre: int, outside: np.ndarray, size: int, percent: int) -> np.ndarray:
+    """Keys of a member of the given size by its sorted shingles outside the centre; see above for how many suffice."""
+    first = outside[: (100 - percent) * size // 100 + 1]
+    return mix(first ^ mix(np.array([centre], np.int64).view(np.uint64) + MIX2)).view(np.int64)
 
-    The keys hold the centre as well: they bring together members that differ from one centre in like ways. Pairs from
-    buckets of two only (not wide) need none.
+
+def _comparer(percent: int):
+    """Sizes of intersection and union of a centre and a member, and the member's keys around that centre.
+
+    Pairs from buckets that fit into a task (not wide) need no keys.
     """
-    for batch in batches:
-        both, union, keys = [], [], []
-        for c, wide, x, y in zip(batch.column("centre").to_pylist(), batch.column("wide").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            same = y[at] == x
-            both.append(int(same.sum()))
-            union.append(len(x) + len(y) - both[-1])
-            other = np.ones(len(y), bool)
-            other[at[same]] = False
-            apart = np.sort(mix(np.concatenate([x[~same], y[other]]) ^ MIX2))
-            keys.append(band_keys(signature(apart, APART_BANDS * APART_ROWS), APART_BANDS, APART_ROWS) ^ np.int64(c * 0x9E3779B1 & 0x7FFFFFFFFFFFFFFF) if wide and len(apart) else np.zeros(0, np.int64))
-        ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-        flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("centre"), batch.column("rep"), batch.column("n"), pa.array(both, pa.int64()), pa.array(union, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["centre", "rep", "n", "common", "whole", "apart"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both, union, keys = [], [], []
+            for c, wide, x, y in zip(batch.column("centre").to_pylist(), batch.column("wide").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                same = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+                both.append(int(same.sum()))
+                union.append(len(x) + len(y) - both[-1])
+                keys.append(prefix_keys(c, y[~same], len(y), percent) if wide else np.zeros(0, np.int64))
+            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("centre"), batch.column("rep"), batch.column("n"), pa.array(both, pa.int64()), pa.array(union, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["centre", "rep", "n", "common", "whole", "apart"])
+
+    return compare
+
+
+def _settler(percent: int):
+    """Links among the members (rep, comp, hashes) of one bucket, but for those that comp or other links connect."""
+
+    def settle(bucket: pa.Table) -> pa.Table:
+        bucket = bucket.sort_by([("n", "ascending"), ("rep", "ascending")])
+        reps, up = bucket.column("rep").to_pylist(), {c: c for c in bucket.column("comp").to_pylist()}
+        own = bucket.column("comp").to_pylist()
+        sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in bucket.column("hashes")]
+
+        def root(k):
+            while up[k] != k:
+                up[k] = k = up[up[k]]
+            return k
+
+        _, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        order = np.argsort(counts, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        once = int((counts == 1).sum())  # ranks below that are of one member
+        ranks = [np.sort(r) for r in np.split(rank[at.ravel()], np.cumsum([len(x) for x in sets])[:-1])]
+        holders, a, b = {}, [], []
+        for i, x in enumerate(ranks):
+            first = x[: (100 - percent) * len(x) // 100 + 1]
+            first = first[first >= once].tolist()
+            for j in {j for r in first for j in holders.get(r, ())}:
+                y = ranks[j]
+                if 100 * len(y) >= percent * len(x) and root(own[i]) != root(own[j]):
+                    both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        up[root(own[i])] = root(own[j])
+                        a.append(reps[j])
+                        b.append(reps[i])
+            for r in first:
+                holders.setdefault(r, []).append(i)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return settle
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
@@ -142,8 +189,8 @@ def class_links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, wid
         # Buckets with new members; all others were settled when they last had some, as components only grow together.
         now = active if tested is None else active.join(fresh.select("key").distinct(), "key", "left_semi")
         now = materialize(_labelled(now, labels), "open")
-        stars = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("n", "rep")).alias("c"), F.count("*").alias("members"))
-        centres = materialize(stars.where("lo < hi").select("key", F.col("c.rep").alias("centre"), (F.col("members") > 2).alias("wide")), "centres")
+        stars = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("n", "rep")).alias("c"), F.sum("n").alias("total"))
+        centres = materialize(stars.where("lo < hi").select("key", F.col("c.rep").alias("centre"), (F.col("total") > TASK_SHINGLES).alias("wide")), "centres")
         # Every member is compared, also those linked with the centre: others may be linked to them alone.
         pairs = now.join(centres, "key").where("rep <> centre").groupBy("centre", "rep", "n").agg(F.max("wide").alias("wide"))
         if tested is not None:  # a pair is compared again only if it had no keys and now needs them
@@ -154,14 +201,25 @@ def class_links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, wid
             break
         left = sets.select(F.col("rep").alias("centre"), F.col("hashes").alias("x"))
         common = pairs.join(left, "centre").join(sets.withColumnRenamed("hashes", "y"), "rep")
-        common = common.mapInArrow(_compare, "centre long, rep long, n long, common long, whole long, apart array<long>")
+        common = common.mapInArrow(_comparer(percent), "centre long, rep long, n long, common long, whole long, apart array<long>")
         common = materialize(common, "common")
         found = materialize(common.where(F.col("common") * 100 >= F.col("whole") * percent).select(F.col("centre").alias("a"), F.col("rep").alias("b")), "links")
         tested = pairs if tested is None else tested.union(pairs)
         if not found.isEmpty():
             links = found if links is None else links.union(found)
             labels = materialize(components(links), "labels")
-        fresh = common.select(F.explode("apart").alias("key"), "rep", "n")
+        rest = now.select("key", "rep", "n").join(centres.where("not wide"), "key").where("rep <> centre").select("key", "rep", "n")
+        rest = materialize(_labelled(rest, labels), "rest")
+        still = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"))
+        still = still.where("lo < hi").groupBy("members", "who").agg(F.min("key").alias("key")).select("key")  # buckets of the same members once
+        inside = rest.join(still, "key").join(sets.hint("merge"), "rep").select("key", "rep", "n", "comp", "hashes")
+        inside = materialize(inside.groupBy("key").applyInArrow(_settler(percent), "a long, b long").distinct(), "inside")
+        if not inside.isEmpty():
+            links = inside if links is None else links.union(inside)
+            labels = materialize(components(links), "labels")
+        fresh = common.where(F.size("apart") > 0).select(F.explode("apart").alias("key"), "rep", "n")
+        if fresh.isEmpty():
+            break
         active = active.union(fresh)
     return labels
 

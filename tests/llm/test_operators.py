@@ -66,11 +66,13 @@ def test_links_within_a_bucket_are_never_lost(spark):
 
 
 @pytest.mark.parametrize("spans", [[(900, 950), (0, 400), (30, 430), (60, 460)], [(0, 300), (60, 400), (60, 420)]])
-def test_members_stay_in_their_bucket(spark, monkeypatch, spans):
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_members_stay_in_their_bucket(spark, monkeypatch, spans, limit):
     """Texts of one bucket: B is linked to A alone, which is in the centre's component by another bucket; or B is too large for the centre, A apart from it."""
     bands = F.when(F.col("doc_id").isin(1, 2) & F.lit(len(spans) > 3), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))).cast("array<long>")
     sketched = lambda docs, *_: docs.select("doc_id", (F.size(F.split("text", " ")) - 4).cast("long").alias("n_shingles"), F.md5("text").cast("binary").alias("digest"), bands.alias("bands"))
     monkeypatch.setattr(near_dedup, "sketches", sketched)
+    monkeypatch.setattr(near_dedup, "TASK_SHINGLES", limit)
     texts = [(i, " ".join(f"w{k}" for k in range(*s))) for i, s in enumerate(spans)]
     want = components({d: shingles(t) for d, t in texts}, 85)
     assert len(set(want.values())) == 2 and want[len(spans) - 1] == want[len(spans) - 2] == 1
@@ -78,6 +80,25 @@ def test_members_stay_in_their_bucket(spark, monkeypatch, spans):
     assert got.set_index("doc_id").component_id.to_dict() == want
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_linked_members_always_share_a_key(percent):
+    """Families of hundreds of edited sets: each link of which one member is not linked to the centre has a key in common."""
+    rng, met = np.random.default_rng(2), 0
+    for edits in (0.05, 0.1, 0.14):
+        core = rng.integers(0, 1 << 63, 200, np.uint64)
+        edited = lambda s, part: np.unique(np.r_[s[rng.random(len(s)) > part], rng.integers(0, 1 << 63, round(len(s) * part), np.uint64)])
+        first = [edited(core, edits) for _ in range(60)]
+        sets = sorted(first + [edited(first[rng.integers(60)], 0.06) for _ in range(140)], key=len)
+        alike = lambda a, b: 100 * (n := len(np.intersect1d(a, b))) >= percent * (len(a) + len(b) - n)
+        linked = [alike(sets[0], s) for s in sets]
+        keys = [near_dedup.prefix_keys(7, np.setdiff1d(s, sets[0]), len(s), percent) for s in sets]
+        for i, j in ((i, j) for i in range(1, 200) for j in range(1, i)):
+            if not (linked[i] and linked[j]) and alike(sets[i], sets[j]):
+                assert len(np.intersect1d(keys[i], keys[j]))
+                met += 1
+    assert met > 100
+
+
 def test_signature_is_unbiased():
     rng = np.random.default_rng(1)
     off = []
