@@ -174,3 +174,11 @@ def near(docs: DataFrame, percent: int = 80, permutations: int = PERMUTATIONS, w
         names = names.join(labels, names["rep"] == labels["node"], "left").select("digest", F.coalesce("component", "rep").alias("rep"))
     names = materialize(names, "names")
     return held.join(names, "digest", "left").select("doc_id", "fingerprint", F.coalesce("rep", "doc_id").alias("class_id"))
+
+
+def compared_with_classes(docs: DataFrame) -> DataFrame:
+    """The rows of compared() with the class_id of near()."""
+    classes = near(docs).groupBy("doc_id", "fingerprint").agg(F.min("class_id").alias("class_id"))
+    classes = materialize(classes, "class_ids").withColumnsRenamed({"doc_id": "__id", "fingerprint": "__print"})
+    rows = compared(docs)
+    return rows.join(classes.hint("merge"), rows["doc_id"].eqNullSafe(F.col("__id")) & (rows["fingerprint"] == F.col("__print")), "left").select(*rows.columns, "class_id")

@@ -55,9 +55,9 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .fingerprints import compared
+    from .fingerprints import compared_with_classes
 
-    return compared(table(spark, sf_dir, "documents"))
+    return compared_with_classes(table(spark, sf_dir, "documents"))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

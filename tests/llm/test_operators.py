@@ -56,6 +56,15 @@ def test_fingerprint_classes(docs, rows):
     assert all(r.class_id == want[r.doc_id] for r in got[got.doc_id.notna()].itertuples())
 
 
+def test_fingerprint_query_has_classes(docs, rows, tmp_path):
+    from arkivel.llm.queries import op7_fingerprints
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = op7_fingerprints(docs.sparkSession, str(tmp_path)).toPandas()
+    want = components({d: shingles(t) for d, t, *_ in rows if d is not None}, 80)
+    assert len(got) == len(rows) and all(r.class_id == want[r.doc_id] for r in got[got.doc_id.notna()].itertuples())
+
+
 def test_links_within_a_bucket_are_never_lost(spark):
     """A chain in which the smallest document is like its neighbour only."""
     words = [f"w{i}" for i in range(400)]
