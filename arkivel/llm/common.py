@@ -15,16 +15,18 @@ SPACE = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where that is unset, as in tests on one machine, a new local folder is taken.
+    Only where that is unset and Spark runs in one local process, as in tests, a new local folder is taken.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             at = held.get()
-        else:
+        elif spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
             at = "file://" + tempfile.mkdtemp(prefix="arkivel-")
             spark.sparkContext.setCheckpointDir(at)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return at.rstrip("/")
 
 
@@ -36,7 +38,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/arkivel-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._written_at = at
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more; results that are still to be computed must not go back to them."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -61,9 +61,9 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .suffix_dedup import without_repeats
+    from .suffix_dedup import PASSAGE, without_repeats
 
-    return without_repeats(table(spark, sf_dir, "documents"), with_bytes=False)
+    return without_repeats(table(spark, sf_dir, "documents"), with_bytes=False, passage=PASSAGE)
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -257,21 +257,49 @@ def test_line_dedup(spark, docs, rows):
     assert sum(got.lines_removed) > 0
 
 
-def test_suffix_dedup(docs, rows):
-    length = 60
-    got = suffix_dedup.without_repeats(docs, length, 16).toPandas()
-    seen = Counter(b[i : i + length] for _, t, *_ in rows for b in [(t or "").encode()] for i in range(len(b) - length + 1))
-    want = []
-    for d, t, *_ in rows:
-        b = (t or "").encode()
-        gone = np.zeros(len(b), bool)
-        for i in range(len(b) - length + 1):
-            if seen[b[i : i + length]] > 1:
-                gone[i : i + length] = True
+def stripped(rows, length, passage=None):
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, n_passage]) by counting all strings."""
+    texts = [(t or "").encode() for _, t, *_ in rows]
+    out = []
+    covers = []
+    for n in (length, passage or length):
+        seen = Counter(b[i : i + n] for b in texts for i in range(len(b) - n + 1))
+        covers.append([])
+        for b in texts:
+            gone = np.zeros(len(b), bool)
+            for i in range(len(b) - n + 1):
+                if seen[b[i : i + n]] > 1:
+                    gone[i : i + n] = True
+            covers[-1].append(gone)
+    for (d, *_), b, gone, shorter in zip(rows, texts, *covers, strict=True):
         kept = bytes(np.frombuffer(b, np.uint8)[~gone])
-        want.append((d, len(b), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum()), hashlib.sha256(kept).hexdigest()))
-    have = [(None if math.isnan(r.doc_id) else int(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.itertuples()]
-    assert Counter(have) == Counter(want)
+        out.append((d, len(b), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum()), hashlib.sha256(kept).hexdigest(), *[int(shorter.sum())] * bool(passage)))
+    return Counter(out)
+
+
+def have_stripped(got):
+    own = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["n_passage"] if "n_passage" in got else [])]
+    return Counter((None if math.isnan(r.doc_id) else int(r.doc_id), *(getattr(r, c) for c in own)) for r in got.itertuples())
+
+
+@pytest.mark.parametrize("hot", [1, 4096])  # 1: every anchor is dealt anew, down to single strings
+def test_suffix_dedup(docs, rows, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    assert have_stripped(suffix_dedup.without_repeats(docs, 60, 16).toPandas()) == stripped(rows, 60)
+    assert have_stripped(suffix_dedup.without_repeats(docs, 60, 16, passage=40).toPandas()) == stripped(rows, 60, 40)
+
+
+@pytest.mark.parametrize("hot", [3, 4096])
+def test_one_passage_in_many_surroundings(spark, monkeypatch, hot):
+    """One anchor in very many stretches, which differ left and right of the passage."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rng = np.random.default_rng(6)
+    word = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    passage = word(75)
+    rows = [(i, word(int(rng.integers(50, 90))) + passage[int(rng.integers(0, 3)) :] + word(70)) for i in range(60)]
+    got = suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 70, 16, passage=50).toPandas()
+    assert have_stripped(got) == stripped(rows, 70, 50)
+    assert (got.n_removed > 0).any() and (got.n_passage > 0).all()
 
 
 @pytest.mark.parametrize("piece", [64, 97])
@@ -279,7 +307,7 @@ def test_long_texts_in_pieces(monkeypatch, piece):
     """Runs found piece by piece cover the same starts with the same anchors."""
     rng = np.random.default_rng(4)
     data = rng.integers(97, 101, 1000).astype(np.uint8)
-    flat = lambda r: {int(s) + k: (int(a), int(s) + int(lead)) for a, _, _, s, n, lead in zip(*r, strict=True) for k in range(int(n) - 39)}
+    flat = lambda r: {int(s) + k: (int(a), int(s) + int(lead)) for a, _, _, s, n, _, lead in zip(*r, strict=True) for k in range(int(n))}
     whole = flat(suffix_dedup.runs(data, 40, 8))
     monkeypatch.setattr(suffix_dedup, "PIECE", piece)
     assert flat(suffix_dedup.runs(data, 40, 8)) == whole and set(whole) == set(range(961))
