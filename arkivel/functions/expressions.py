@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import cache
 from typing import Any
 
 from pyspark.sql import Column
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 _TOKEN = re.compile(r"\s*(?:(?P<num>0[xX][0-9a-fA-F]+|\d+)|(?P<str>'[^']*'|\"[^\"]*\")|(?P<ref>[A-Za-z_][\w]*(?:\.[A-Za-z_]\w*)*)|(?P<op><=|>=|!=|[-+*/%()=<>]))")
 
 
+@cache
 def parse(text: str) -> tuple:
     tokens, at = [], 0
     while text[at:].strip():

@@ -12,9 +12,11 @@ from ..functions import vocab as V
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df as written to the checkpoint folder that all executors share; a local one only where none is set, as in tests."""
+    """df as written to the checkpoint folder that all executors share; a local one only where Spark is one local process."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="arkivel-" + uuid.uuid4().hex[:8]))
     return df.checkpoint()
 

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from decimal import Decimal
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -143,16 +144,25 @@ class Decoder:
                     if evaluate(parse(e.until), inner.look) not in (0, "", None):
                         return
 
+    def _line_end(self, first: int, e: Record) -> int:
+        """Where the next terminator outside quotes is; bytes of the line are looked at once or twice, never the rest."""
+        stop, quote, at, quotes = e.terminator.encode("latin-1"), e.quote.encode("latin-1"), first, 0
+        while (found := self.data.find(stop, at)) >= 0:
+            quotes += self.data.count(quote, at, found) if quote else 0
+            if quotes % 2 == 0:
+                return found
+            at = found + 1
+        return len(self.data)
+
     def text(self, e: Record, start: int) -> Node:
         """One line: up to the terminator outside quotes, or the end of the data."""
-        rest, quoted, i = self.data[self.at // 8 :].decode("latin-1"), False, 0
-        while i < len(rest) and (quoted or not rest.startswith(e.terminator, i)):
-            quoted ^= bool(e.quote) and rest[i] == e.quote
-            i += 1
-        cells = next(csv.reader(io.StringIO(rest[:i], newline=""), delimiter=e.separator, quotechar=e.quote or None, quoting=csv.QUOTE_MINIMAL if e.quote else csv.QUOTE_NONE), [""])
+        first = self.at // 8
+        end = self._line_end(first, e)
+        line = self.data[first:end].decode("latin-1")
+        cells = next(csv.reader(io.StringIO(line, newline=""), delimiter=e.separator, quotechar=e.quote or None, quoting=csv.QUOTE_MINIMAL if e.quote else csv.QUOTE_NONE), [""])
         if len(cells) != len(e.parts):
             raise ValueError(f"{e.name}: {len(cells)} values, {len(e.parts)} wanted")
-        self.at += 8 * min(len(rest), i + len(e.terminator))
+        self.at = 8 * min(len(self.data), end + len(e.terminator))
         node = Node(e.name, "COMPOSITE", start, self.at - start)
         for f, cell in zip(e.parts, cells, strict=True):
             kind = "NIL" if f.nil and cell == f.nil else "LEAF"
@@ -340,8 +350,9 @@ def encoded(root: Node, d: Description) -> bytes:
 def compared(a: bytes, b: bytes) -> tuple[int, int]:
     """(bytes that differ, the first place that does or -1): a difference in length counts in full."""
     n = min(len(a), len(b))
-    first = next((i for i in range(n) if a[i] != b[i]), n if len(a) != len(b) else -1)
-    return sum(x != y for x, y in zip(a, b, strict=False)) + abs(len(a) - len(b)), first
+    differs = np.flatnonzero(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n))
+    first = int(differs[0]) if len(differs) else n if len(a) != len(b) else -1
+    return len(differs) + abs(len(a) - len(b)), first
 
 
 def round_trips(files: DataFrame, d: Description, key: str = "path", content: str = "content") -> DataFrame:

@@ -233,3 +233,61 @@ r(root, node) AS (SELECT '{V.EX}supplier-' || s_suppkey, '{V.EX}supplier-' || s_
 SELECT root AS s, node AS place FROM r WHERE node <> root""")
 def sparql_path(spark, sf_dir):
     return sparql.run(_view(spark, sf_dir, "nation", "region", "supplier"), "SELECT DISTINCT ?s ?place WHERE { ?s a ex:Supplier . ?s (ex:inNation|ex:partOf)+ ?place }")
+
+
+@query(f"""SELECT n, max(CASE WHEN s THEN v END) AS v, max(CASE WHEN s THEN lang END) AS lang, max(dt) AS dt FROM (
+SELECT '{V.EX}nation-' || n_nationkey AS n, n_nationkey % 2 = 0 AS s, n_name AS v, 'en' AS lang, '{V.RDF}langString' AS dt FROM nation WHERE n_nationkey % 2 = 0) GROUP BY n""")
+def sparql_language(spark, sf_dir):
+    """LANG, DATATYPE and LANGMATCHES of labels, of which every second is tagged."""
+    view = _view(spark, sf_dir, "nation")
+    tagged = view.withColumn("o_lang", F.when((F.col("p") == V.NAME) & (F.regexp_extract("s", r"(\d+)$", 1).try_cast("int") % 2 == 0), F.lit("en")).otherwise(F.lit("")))
+    return sparql.run(tagged, 'SELECT ?n ?v (LANG(?v) AS ?lang) (DATATYPE(?v) AS ?dt) WHERE { ?n rico:name ?v FILTER(LANGMATCHES(LANG(?v), "EN")) }')
+
+
+@query(f"""SELECT '{V.EX}supplier-' || a.s_suppkey AS a FROM supplier a WHERE NOT EXISTS (SELECT 1 FROM supplier b WHERE b.s_nationkey = a.s_nationkey AND b.s_name > a.s_name)""")
+def sparql_not_exists(spark, sf_dir):
+    """A filter within NOT EXISTS that names a variable outside it: the last supplier of each nation."""
+    return sparql.run(_view(spark, sf_dir, "supplier"), """
+      SELECT ?a WHERE { ?a ex:inNation ?n ; rico:name ?x .
+        FILTER NOT EXISTS { ?b ex:inNation ?n ; rico:name ?y . FILTER(STR(?y) > STR(?x)) } }""")
+
+
+@query(f"""SELECT '{V.EX}nation-' || n_nationkey AS n, coalesce(min(CASE WHEN s_name LIKE '%1' THEN s_name END), min(c_name)) AS v
+FROM nation LEFT JOIN (SELECT s_nationkey, min(s_name) AS s_name FROM supplier WHERE s_name LIKE '%1' GROUP BY 1) ON s_nationkey = n_nationkey LEFT JOIN (SELECT c_nationkey, min(c_name) AS c_name FROM customer GROUP BY 1) ON c_nationkey = n_nationkey GROUP BY 1""")
+def sparql_unbound(spark, sf_dir):
+    """A variable that a first OPTIONAL leaves unbound is bound by the second one."""
+    rows = sparql.run(_view(spark, sf_dir, "nation", "supplier", "customer", "region"), """
+      SELECT ?n ?v WHERE { ?n ex:partOf ?r .
+        OPTIONAL { SELECT ?n (MIN(?a) AS ?v) WHERE { ?s a ex:Supplier ; ex:inNation ?n ; rico:name ?a . FILTER(STRENDS(?a, "1")) } GROUP BY ?n }
+        OPTIONAL { SELECT ?n (MIN(?b) AS ?v) WHERE { ?c a ex:Customer ; ex:inNation ?n ; rico:name ?b } GROUP BY ?n } }""")
+    return rows
+
+
+@query("""SELECT n_regionkey::VARCHAR AS r, sum(n_nationkey)::BIGINT::VARCHAR AS total, count(*)::VARCHAR AS n FROM nation GROUP BY 1 ORDER BY sum(n_nationkey) DESC, 1 LIMIT 3""")
+def sparql_sums(spark, sf_dir):
+    """SUM as a whole number, COUNT(DISTINCT *), and an order by the number."""
+    rows = sparql.run(_view(spark, sf_dir, "nation", "region"), """
+      SELECT ?r (SUM(?k) AS ?total) (COUNT(DISTINCT *) AS ?n) WHERE { ?x ex:partOf ?y .
+        BIND(STRAFTER(STR(?x), "nation-") AS ?k) BIND(STRAFTER(STR(?y), "region-") AS ?r) } GROUP BY ?r ORDER BY DESC(?total) ?r LIMIT 3""")
+    return rows
+
+
+@query("SELECT s_name AS name FROM supplier ORDER BY s_name LIMIT 7 OFFSET 2")
+def sparql_text_order(spark, sf_dir):
+    """Plain text is ordered as text."""
+    return sparql.run(_view(spark, sf_dir, "supplier"), "SELECT ?name WHERE { ?s a ex:Supplier ; rico:name ?name } ORDER BY ?name LIMIT 7 OFFSET 2")
+
+
+@query(f"SELECT '{V.EX}supplier-' || s_suppkey AS s FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey = 2 UNION ALL SELECT '{V.EX}nation-' || n_nationkey FROM nation WHERE n_regionkey = 2 UNION ALL SELECT '{V.EX}region-2'")
+def sparql_path_to(spark, sf_dir):
+    """A path of any length to a known end, walked from that end."""
+    return sparql.run(_view(spark, sf_dir, "nation", "region", "supplier"), "SELECT ?s WHERE { ?s (ex:inNation|ex:partOf)* ex:region-2 }")
+
+
+@query("""SELECT c_mktsegment AS segment, r_name AS region, count(*)::VARCHAR AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE') GROUP BY 1, 2""")
+def sparql_values_union(spark, sf_dir):
+    """Patterns in an order that would need a cross join as written; VALUES; UNION."""
+    return sparql.run(_view(spark, sf_dir, "customer", "nation", "region"), """
+      SELECT ?segment ?region (COUNT(?c) AS ?n) WHERE {
+        ?c dc:type ?segment . ?y rico:name ?region . ?x ex:partOf ?y . ?c ex:inNation ?x .
+        { VALUES ?region { "ASIA" } } UNION { VALUES ?region { "EUROPE" } } } GROUP BY ?segment ?region""")

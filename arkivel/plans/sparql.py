@@ -2,7 +2,12 @@
 
 Patterns, FILTER, BIND, VALUES, OPTIONAL, UNION, MINUS, EXISTS, sub-SELECT, paths (/ | ^ * + ? and sets), DISTINCT,
 aggregates with HAVING, ORDER BY, LIMIT and OFFSET. Other query forms are refused. A variable is a column of text with
-its kind beside it; an expression that errs is null, which no FILTER lets through. Kinds are dropped at the edge.
+its kind beside it (iri, bnode, literal, or literal^^datatype@language); an expression that errs is null, which no FILTER
+lets through. Kinds are dropped at the edge.
+
+Triple patterns are joined in an order in which each shares a variable with those before it, if there is one. OPTIONAL,
+EXISTS and NOT EXISTS are joins whose condition holds the filters of their group, which may name outer variables. A
+variable that may be unbound is compatible with any value in a join.
 """
 
 from __future__ import annotations
@@ -114,6 +119,8 @@ class Parser:
     def group(self) -> list:
         self.take("{")
         out: list = []
+        if self.peek().upper() == "SELECT":
+            out.append(("select", self.select()))
         while not self.has("}"):
             if self.has("."):
                 continue
@@ -299,13 +306,33 @@ class Parser:
         return self.term()
 
 
+XSD = "http://www.w3.org/2001/XMLSchema#"
+#: Datatypes whose literals are ordered as numbers.
+NUMERIC = ("integer", "decimal", "double", "float", "int", "long", "short", "byte", "unsignedInt", "unsignedLong", "nonNegativeInteger", "positiveInteger")
+WHOLE, FRACTION = f"literal^^{XSD}integer@", f"literal^^{XSD}decimal@"
+NUMBERS = {"ABS", "CEIL", "FLOOR", "ROUND", "STRLEN", "YEAR", "MONTH", "DAY", "HOURS", "MINUTES", "SECONDS"}
 AGGREGATES = {"COUNT", "SUM", "AVG", "MIN", "MAX", "SAMPLE", "GROUP_CONCAT"}
 KIND = "__kind_"
 
 
+def plain(number: Column) -> Column:
+    """A number's text; whole numbers without a fraction."""
+    return F.when(number == F.floor(number), number.try_cast("decimal(38,0)").cast("string")).otherwise(number.cast("string"))
+
+
+class _Names:
+    """Stands for rows where only their columns' names matter."""
+
+    def __init__(self, columns):
+        self.columns = list(columns)
+
+
 class Engine:
     def __init__(self, triples: DataFrame):
-        self.triples, self.spark, self.made = triples, triples.sparkSession, 0
+        literal = F.when((F.coalesce("o_dt", F.lit("")) == "") & (F.coalesce("o_lang", F.lit("")) == ""), F.lit("literal")).otherwise(F.concat(F.lit("literal^^"), F.coalesce("o_dt", F.lit("")), F.lit("@"), F.coalesce("o_lang", F.lit(""))))
+        kind = F.when(F.col("o_kind") == "literal", literal).otherwise(F.col("o_kind")) if {"o_dt", "o_lang"} <= set(triples.columns) else F.col("o_kind")
+        self.triples, self.spark, self.made = triples.select("s", "s_kind", "p", "o", kind.alias("o_kind")), triples.sparkSession, 0
+        self.loose: set[str] = set()  # variables that may be unbound
 
     def select(self, q: dict) -> DataFrame:
         rows = self.group(q["where"], None)
@@ -321,7 +348,7 @@ class Engine:
             cols = []
             for i, (n, e) in enumerate(items):
                 if self.aggregates(e):
-                    cols += [F.col(f"__agg{i}").cast("string").alias(n), F.lit("literal").alias(KIND + n)]
+                    cols += self.aggregated(e, F.col(f"__agg{i}"), n)
                 else:
                     cols += [F.col(e[1]).alias(n), F.col(KIND + e[1]).alias(KIND + n)]
             rows = grouped.select(*cols)
@@ -333,7 +360,7 @@ class Engine:
                 elif e[0] == "var":
                     cols += [F.col(e[1]).alias(n), F.col(KIND + e[1]).alias(KIND + n)]
                 else:
-                    cols += [self.text(e, rows).alias(n), F.lit("literal").alias(KIND + n)]
+                    cols += [self.text(e, rows).alias(n), self.kind_of(e, rows).alias(KIND + n)]
             if q["order"]:
                 rows = rows.select(*cols, *[F.col(c).alias("__o_" + c) for c in rows.columns])
             else:
@@ -344,9 +371,10 @@ class Engine:
         for e, down in q["order"]:
             n = e[1] if e[0] == "var" else None
             value = F.col(n if n in rows.columns else f"__o_{n}") if n else self.text(e, rows)
-            kind = F.col((KIND + n) if n in rows.columns else f"__o_{KIND}{n}") if n else F.lit("literal")
+            kind = F.col((KIND + n) if n in rows.columns else f"__o_{KIND}{n}") if n else self.kind_of(e, rows)
             rank = F.when(value.isNull(), 0).when(kind == "bnode", 1).when(kind == "iri", 2).otherwise(3)
-            for c in (rank, value.try_cast("double"), value):
+            number = F.when(F.regexp_extract(kind, r"#(\w+)@$", 1).isin(*NUMERIC), value.try_cast("double"))
+            for c in (rank, number, value):
                 for_order.append(c.desc() if down else c.asc())
         if for_order:
             rows = rows.orderBy(*for_order)
@@ -363,24 +391,57 @@ class Engine:
     def unit(self) -> DataFrame:
         return self.spark.range(1).select()
 
-    def join(self, a: DataFrame | None, b: DataFrame, how: str = "inner") -> DataFrame:
+    def join(self, a: DataFrame | None, b: DataFrame, how: str = "inner", filters: list | None = None) -> DataFrame:
+        """Compatible rows of a and b; filters see the variables of both and are part of the condition."""
         if a is None:
             return b
         shared = [n for n in self.names(a) if n in self.names(b)]
         self.made += 1
-        b = b.withColumnsRenamed({c: f"__j{self.made}_{c}" for c in b.columns})
-        on = reduce(lambda x, y: x & y, [(F.col(n) == F.col(f"__j{self.made}_{n}")) & (F.col(KIND + n) == F.col(f"__j{self.made}_{KIND}{n}")) for n in shared], F.lit(True))
-        out = a.join(b, on, how)
+        mine = f"__j{self.made}_"
+        b = b.withColumnsRenamed({c: mine + c for n in shared for c in (n, KIND + n)})
+        tests = []
+        for n in shared:
+            same = (F.col(n) == F.col(mine + n)) & (F.col(KIND + n) == F.col(mine + KIND + n))
+            tests.append(F.col(n).isNull() | F.col(mine + n).isNull() | same if n in self.loose else same)
+        both = _Names([*a.columns, *b.columns])
+        tests += [F.coalesce(self.boolean(f, both), F.lit(False)) for f in filters or []]
+        out = a.join(b, reduce(lambda x, y: x & y, tests, F.lit(True)), how)
         if how in ("left_semi", "left_anti"):
             return out
-        new = [c for c in b.columns if c.removeprefix(f"__j{self.made}_") not in a.columns]
-        return out.select(*a.columns, *[F.col(c).alias(c.removeprefix(f"__j{self.made}_")) for c in new])
+        bound = {c: F.coalesce(F.col(c), F.col(mine + c)).alias(c) for n in shared if n in self.loose for c in (n, KIND + n)}
+        return out.select(*[bound.get(c, F.col(c)) for c in a.columns], *[c for c in b.columns if not c.startswith(mine)])
+
+    @staticmethod
+    def ordered(parts: list, known: set[str]) -> list:
+        """The parts with each run of triple patterns so ordered that one shares a variable with those before, if any does."""
+        out, run = [], []
+        variables = lambda p: {t[1] for t in p[1:] if t[0] == "var"}
+
+        def settle() -> None:
+            nonlocal run
+            while run:
+                best = min(run, key=lambda p: (bool(known) and not variables(p) & known, len(variables(p) - known), run.index(p)))
+                run.remove(best)
+                known.update(variables(best))
+                out.append(best)
+
+        for p in parts:
+            if p[0] == "triple":
+                run.append(p)
+            elif p[0] != "filter":
+                settle()
+                known.update([p[1]] if p[0] == "bind" else p[1] if p[0] == "values" else [])
+                out.append(p)
+        settle()
+        return out
 
     def group(self, parts: list, rows: DataFrame | None) -> DataFrame:
         filters = [p[1] for p in parts if p[0] == "filter"]
-        for p in parts:
+        for p in self.ordered(parts, set(self.names(rows)) if rows is not None else set()):
             if p[0] == "triple":
-                rows = self.join(rows, self.pattern(*p[1:]))
+                found = self.pattern(*p[1:])
+                rows = self.join(rows, found)
+                self.loose -= set(self.names(found))
             elif p[0] == "optional":
                 rows = self.optional(rows, p[1])
             elif p[0] == "minus":
@@ -390,15 +451,18 @@ class Engine:
                 made = None
                 for g in p[1]:
                     part = self.group(g, None)
+                    if made is not None:
+                        self.loose |= set(self.names(part)) ^ set(self.names(made))
                     made = part if made is None else made.unionByName(part, allowMissingColumns=True)
                 rows = self.join(rows, made)
             elif p[0] == "select":
                 rows = self.join(rows, self.select(p[1]))
             elif p[0] == "bind":
-                e = p[2]
-                kind = F.lit("iri") if e[0] == "iri" or e[0] == "call" and e[1] in ("IRI", "URI") else F.col(KIND + e[1]) if e[0] == "var" else F.lit("literal")
-                rows = rows.withColumns({p[1]: self.text(e, rows), KIND + p[1]: kind})
+                rows = rows if rows is not None else self.unit()
+                rows = rows.withColumns({p[1]: self.text(p[2], rows), KIND + p[1]: self.kind_of(p[2], rows)})
+                self.loose.add(p[1])
             elif p[0] == "values":
+                self.loose |= {n for i, n in enumerate(p[1]) if any(r[i] is None for r in p[2])}
                 flat = [[x for t in r for x in ((t[1], "iri" if t[0] == "iri" else "literal") if t else (None, None))] for r in p[2]]
                 rows = self.join(rows, self.spark.createDataFrame(flat, ", ".join(f"`{n}` string, `{KIND}{n}` string" for n in p[1])))
         rows = self.unit() if rows is None else rows
@@ -407,25 +471,28 @@ class Engine:
         return rows
 
     def optional(self, rows: DataFrame, parts: list) -> DataFrame:
-        """A left join; a filter of the optional group may speak of variables outside it, so it is part of the join."""
-        inner = self.group([p for p in parts if p[0] != "filter"], None)
-        filters = [p[1] for p in parts if p[0] == "filter"]
-        if not filters:
-            return self.join(rows, inner, "left")
-        keyed = rows.withColumn("__row", F.monotonically_increasing_id()).persist()
-        both = self.join(keyed, inner)
-        for f in filters:
-            both = self.filtered(both, f)
-        none = keyed.join(both.select("__row").distinct(), "__row", "left_anti")
-        return both.unionByName(none, allowMissingColumns=True).drop("__row")
+        """A left join; a filter of the optional group may speak of variables outside it, so it is part of the condition."""
+        inner, filters = self.apart(parts)
+        rows = rows if rows is not None else self.unit()
+        out = self.join(rows, inner, "left", filters)
+        self.loose |= set(self.names(inner)) - set(self.names(rows))
+        return out
+
+    def apart(self, parts: list) -> tuple[DataFrame, list]:
+        """A group without its filters, and these; filters with groups of their own are applied within it."""
+        nested = lambda e: isinstance(e, tuple) and (e[0] == "exists" or any(nested(x) for x in e[1:]))
+        filters = [p[1] for p in parts if p[0] == "filter" and not nested(p[1])]
+        return self.group([p for p in parts if p[0] != "filter" or nested(p[1])], None), filters
 
     def filtered(self, rows: DataFrame, e: tuple) -> DataFrame:
         if e[0] == "&&":
             return self.filtered(self.filtered(rows, e[1]), e[2])
         if e[0] == "exists":
-            return self.join(rows, self.group(e[1], None), "left_semi")
+            inner, filters = self.apart(e[1])
+            return self.join(rows, inner, "left_semi", filters)
         if e[0] == "!" and e[1][0] == "exists":
-            return self.join(rows, self.group(e[1][1], None), "left_anti")
+            inner, filters = self.apart(e[1][1])
+            return self.join(rows, inner, "left_anti", filters)
         return rows.where(F.coalesce(self.boolean(e, rows), F.lit(False)))
 
     def pattern(self, s: tuple, p: tuple, o: tuple) -> DataFrame:
@@ -433,6 +500,9 @@ class Engine:
             base = self.triples.where(F.col("p") == p[1]).select("s", "s_kind", "o", "o_kind")
         elif p[0] == "var":
             base = self.triples.select("s", "s_kind", "p", "o", "o_kind")
+        elif p[0] == "times" and s[0] != "iri" and o[0] == "iri":  # from the known end backwards
+            back = self.pairs(("times", ("inverse", p[1]), p[2]), o)
+            base = back.select(F.col("o").alias("s"), F.col("o_kind").alias("s_kind"), F.col("s").alias("o"), F.col("s_kind").alias("o_kind"))
         else:
             base = self.pairs(p, s)
         tests, cols, seen = [], [], {}
@@ -441,7 +511,7 @@ class Engine:
                 continue
             kind = F.lit("iri") if c == "p" else F.col(f"{c}_kind")
             if term[0] != "var":
-                tests += [F.col(c) == term[1], kind == ("iri" if term[0] == "iri" else "literal")]
+                tests += [F.col(c) == term[1], kind == "iri" if term[0] == "iri" else kind.startswith("literal")]
             elif term[1] in seen:
                 tests.append(F.col(c) == F.col(seen[term[1]]))
             else:
@@ -485,7 +555,7 @@ class Engine:
         if e[0] == "call" and e[1] in AGGREGATES:
             _, name, args, distinct, sep = e
             if args[0] == ("star",):
-                return F.count("*")
+                return F.countDistinct(F.struct(*rows.columns)) if distinct else F.count("*")
             text, number = self.text(args[0], rows), self.number(args[0], rows)
             if name == "COUNT":
                 return F.countDistinct(text) if distinct else F.count(text)
@@ -496,7 +566,9 @@ class Engine:
                 return f(F.struct(number.alias("n"), text.alias("t")))["t"]
             if name == "SAMPLE":
                 return F.min(text)
-            return {"SUM": F.sum, "AVG": F.avg}[name](number)
+            if distinct:
+                return {"SUM": F.sum_distinct, "AVG": lambda c: F.sum_distinct(c) / F.countDistinct(c)}[name](number)
+            return F.coalesce({"SUM": F.sum, "AVG": F.avg}[name](number), F.lit(0.0))
         if e[0] in ("=", "!=", "<", "<=", ">", ">="):
             a, b = (self.aggregate(x, rows) if self.aggregates(x) else F.lit(float(x[1])) if x[0] == "number" else F.lit(x[1]) for x in e[1:])
             return {"=": a == b, "!=": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[e[0]]
@@ -505,13 +577,38 @@ class Engine:
             return {"+": a + b, "-": a - b, "*": a * b, "/": F.try_divide(a, b)}[e[0]]
         raise ValueError("SPARQL: not an aggregate")
 
+    def aggregated(self, e: tuple, value: Column, name: str) -> list[Column]:
+        """Text and kind of an aggregate's column."""
+        if e[0] == "call" and e[1] in ("GROUP_CONCAT", "SAMPLE", "MIN", "MAX"):
+            kind = F.lit("literal") if e[1] in ("GROUP_CONCAT", "SAMPLE") else F.when(value.try_cast("double").isNotNull(), F.lit(FRACTION)).otherwise(F.lit("literal"))
+            return [value.cast("string").alias(name), kind.alias(KIND + name)]
+        number = value.cast("double")
+        return [plain(number).alias(name), F.when(number == F.floor(number), F.lit(WHOLE)).otherwise(F.lit(FRACTION)).alias(KIND + name)]
+
+    def kind_of(self, e: tuple, rows: DataFrame) -> Column:
+        if e[0] == "var":
+            return F.col(KIND + e[1]) if KIND + e[1] in rows.columns else F.lit(None).cast("string")
+        if e[0] == "iri" or e[0] == "call" and e[1] in ("IRI", "URI", "DATATYPE"):
+            return F.lit("iri")
+        if e[0] in ("number", "+", "-", "*", "/") or e[0] == "call" and e[1] in NUMBERS:
+            number = self.number(e, rows)
+            return F.when(number == F.floor(number), F.lit(WHOLE)).otherwise(F.lit(FRACTION))
+        if e[0] == "call" and e[1] == "COALESCE":
+            return F.coalesce(*[F.when(self.text(a, rows).isNotNull(), self.kind_of(a, rows)) for a in e[2]])
+        if e[0] == "call" and e[1] == "IF":
+            return F.when(self.boolean(e[2][0], rows), self.kind_of(e[2][1], rows)).otherwise(self.kind_of(e[2][2], rows))
+        return F.lit("literal")
+
     def number(self, e: tuple, rows: DataFrame) -> Column:
         if e[0] == "number":
             return F.lit(float(e[1])) if e[1].lower() not in ("true", "false") else F.lit(float(e[1].lower() == "true"))
         if e[0] in ("+", "-", "*", "/"):
             a, b = self.number(e[1], rows), self.number(e[2], rows)
             return {"+": a + b, "-": a - b, "*": a * b, "/": F.try_divide(a, b)}[e[0]]
-        if e[0] == "call" and e[1] in ("ABS", "CEIL", "FLOOR", "ROUND", "STRLEN", "YEAR", "MONTH", "DAY"):
+        if e[0] == "call" and e[1] in NUMBERS:
+            if e[1] in ("HOURS", "MINUTES", "SECONDS"):
+                at = self.text(e[2][0], rows).try_cast("timestamp_ntz")
+                return {"HOURS": F.hour, "MINUTES": F.minute, "SECONDS": F.second}[e[1]](at).cast("double")
             if e[1] == "STRLEN":
                 return F.char_length(self.text(e[2][0], rows)).cast("double")
             if e[1] in ("YEAR", "MONTH", "DAY"):
@@ -528,8 +625,7 @@ class Engine:
         if e[0] == "number":
             return F.lit(e[1])
         if e[0] in ("+", "-", "*", "/"):
-            n = self.number(e, rows)
-            return F.when(n == F.floor(n), n.try_cast("bigint").cast("string")).otherwise(n.cast("string"))
+            return plain(self.number(e, rows))
         if e[0] == "call":
             name, args = e[1], e[2]
             t = lambda i: self.text(args[i], rows)
@@ -538,10 +634,16 @@ class Engine:
             if name == "SUBSTR":
                 start = self.number(args[1], rows).cast("int")
                 return F.substring(t(0), start, self.number(args[2], rows).cast("int") if len(args) > 2 else F.lit(1 << 30))
-            if name in ("ABS", "CEIL", "FLOOR", "ROUND", "STRLEN", "YEAR", "MONTH", "DAY"):
-                n = self.number(e, rows)
-                return F.when(n == F.floor(n), n.try_cast("bigint").cast("string")).otherwise(n.cast("string"))
-            if name in ("CONTAINS", "STRSTARTS", "STRENDS", "REGEX", "BOUND", "ISIRI", "ISURI", "ISLITERAL", "ISBLANK"):
+            if name in NUMBERS:
+                return plain(self.number(e, rows))
+            if name in ("LANG", "DATATYPE"):
+                kind = self.kind_of(args[0], rows)
+                lang = F.regexp_extract(kind, "@([^@]*)$", 1)
+                if name == "LANG":
+                    return F.when(kind.startswith("literal"), lang)
+                known = F.regexp_extract(kind, r"\^\^(.+)@", 1)
+                return F.when(kind.startswith("literal"), F.when(lang != "", V.RDF + "langString").when(known != "", known).otherwise(XSD + "string"))
+            if name in ("CONTAINS", "STRSTARTS", "STRENDS", "REGEX", "BOUND", "ISIRI", "ISURI", "ISLITERAL", "ISBLANK", "ISNUMERIC", "LANGMATCHES", "SAMETERM"):
                 return self.boolean(e, rows).cast("string")
             simple = {
                 "STR": lambda: t(0), "LCASE": lambda: F.lower(t(0)), "UCASE": lambda: F.upper(t(0)), "IRI": lambda: t(0), "URI": lambda: t(0),
@@ -573,7 +675,15 @@ class Engine:
             if name == "BOUND":
                 return self.text(args[0], rows).isNotNull()
             if name in ("ISIRI", "ISURI", "ISLITERAL", "ISBLANK"):
-                return F.col(KIND + args[0][1]) == {"ISLITERAL": "literal", "ISBLANK": "bnode"}.get(name, "iri")
+                kind = self.kind_of(args[0], rows)
+                return kind.startswith("literal") if name == "ISLITERAL" else kind == ("bnode" if name == "ISBLANK" else "iri")
+            if name == "ISNUMERIC":
+                return F.regexp_extract(self.kind_of(args[0], rows), r"#(\w+)@$", 1).isin(*NUMERIC)
+            if name == "SAMETERM":
+                return (self.text(args[0], rows) == self.text(args[1], rows)) & (self.kind_of(args[0], rows) == self.kind_of(args[1], rows))
+            if name == "LANGMATCHES":
+                tag, asked = F.lower(self.text(args[0], rows)), F.lower(self.text(args[1], rows))
+                return F.when(asked == "*", tag != "").otherwise((tag == asked) | tag.startswith(F.concat(asked, F.lit("-"))))
             if name == "REGEX":
                 flags = "(?i)" if len(args) > 2 and "i" in args[2][1] else ""
                 return F.rlike(self.text(args[0], rows), F.lit(flags + args[1][1]))

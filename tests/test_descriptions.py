@@ -4,6 +4,7 @@ from xml.etree import ElementTree
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from arkivel.functions import east, generators
 from arkivel.functions import vocab as V
@@ -59,26 +60,41 @@ def test_fits_description_reads_its_pixels():
     assert [[p.value for p in r.children] for r in root.children if r.name == "row"] == [[1, 2, 3], [4, 5, 6]]
 
 
-@pytest.mark.parametrize("value", [0.0, 1.0, -2.5, 3.14159, 1e-30, -1e20])
-def test_ieee(value):
-    assert east.IEEE64.value(int.from_bytes(struct.pack(">d", value), "big")) == value
-    assert east.IEEE32.value(int.from_bytes(struct.pack(">f", value), "big")) == struct.unpack(">f", struct.pack(">f", value))[0]
+def read_words(spark, words, column):
+    return [r[0] for r in spark.createDataFrame([(i, bytearray(w)) for i, w in enumerate(words)], "i int, w binary").coalesce(1).select("i", column(F.col("w")).alias("v")).orderBy("i").select("v").collect()]
 
 
-def test_other_reals():
-    assert east.IBM32.value(0x42640000) == 100.0 and east.IBM32.value(0xC1100000) == -1.0
-    assert east.MIL32.value(0x40000001) == 1.0 and east.MIL32.value(0x80000000) == -1.0
-    assert east.VAX_F.value(0x00004080) == 1.0 and east.VAX_F.value(0x0000C080) == -1.0 and east.VAX_F.value(0) == 0.0
-    assert east.NOS_VE.value(0x4001800000000000) == 1.0 and math.isnan(east.NOS_VE.value(0x7000000000000000))
-    one = 1024 << 48 | 1
-    assert east.NOS_BE.value(one) == 1.0 and east.NOS_BE.value(one ^ ((1 << 60) - 1)) == -1.0
+def test_ieee(spark):
+    values = [0.0, -0.0, 1.0, -2.5, 3.14159, 1e-30, -1e20, 5e-324, 1e-40, float("inf"), float("-inf"), 1.7976931348623157e308]
+    assert read_words(spark, [struct.pack(">d", v) for v in values], lambda w: east.real_column(w, east.IEEE64)) == values
+    small = [struct.pack(">f", v) for v in values[:10]]
+    assert read_words(spark, small, lambda w: east.real_column(w, east.IEEE32)) == [struct.unpack(">f", w)[0] for w in small]
+    assert math.isnan(read_words(spark, [bytes.fromhex("7fc00000")], lambda w: east.real_column(w, east.IEEE32))[0])
 
 
-def test_integers():
-    assert [east.signed(0b1001, 4, c) for c in ("unsigned", "twos_complement", "ones_complement", "sign_and_magnitude")] == [9, -7, -6, -1]
-    assert east.gathered(0xA5, 8, ((4, 7), (0, 3))) == (0x5A, 8)
+@pytest.mark.parametrize(("layout", "words"), [
+    (east.IBM32, {"42640000": 100.0, "c1100000": -1.0, "00000000": 0.0, "41a00000": 10.0}),
+    (east.IBM64, {"4264000000000000": 100.0}),
+    (east.MIL32, {"40000001": 1.0, "80000000": -1.0, "600000ff": 0.375, "9ffffffc": -0.75 / 16 - 2**-27}),
+    (east.VAX_F, {"00004080": 1.0, "0000c080": -1.0, "00000000": 0.0, "00008000": math.nan, "00004100": 2.0}),
+    (east.NOS_VE, {"4001800000000000": 1.0, "7000000000000000": math.nan, "5000000000000001": math.inf, "c001800000000000": -1.0, "1000800000000000": 0.0}),
+    (east.NOS_BE, {f"{(1024 << 48 | 1) << 4:016x}": 1.0, f"{((1024 << 48 | 1) ^ ((1 << 60) - 1)) << 4:016x}": -1.0, f"{(1022 << 48 | 6) << 4:016x}": 3.0}),
+])
+def test_other_reals(spark, layout, words):
+    got = read_words(spark, [bytes.fromhex(w) for w in words], lambda w: east.real_column(w, layout))
+    assert all(a == b or math.isnan(a) and math.isnan(b) for a, b in zip(got, words.values(), strict=True)), (got, words)
+
+
+def test_integers(spark):
+    read = lambda word, *rest, **more: read_words(spark, [bytes.fromhex(word)], lambda w: east.integer_column(w, *rest, **more))[0]
+    signs = ("unsigned", "twos_complement", "ones_complement", "sign_and_magnitude")
+    assert [read("90", ((0, 3),), c) for c in signs] == [9, -7, -6, -1]
+    assert read("a5", ((4, 7), (0, 3)), "unsigned") == 0x5A and read("a5", ((0, 7),), "", low_first=True) == 0xA5
+    assert read("01", ((0, 7),), "", low_first=True) == 0x80 and read("8000000000000000", ((0, 63),), "twos_complement") == -(1 << 63)
+    with pytest.raises(ValueError):
+        east.joined(F.lit(""), ((4, 8),), 8)
     with pytest.raises(ValueError):
-        east.gathered(0, 8, ((4, 8),))
+        east.signed(F.lit("1"), 1, "other")
 
 
 def test_views(spark):
