@@ -371,3 +371,38 @@ def inferred(table: DataFrame) -> DataFrame:
     number = F.col("value").try_cast("bigint").isNotNull()
     kind = F.when(F.col("kind") != "LEAF", None).when(number, "integer").when(F.col("value").try_cast("double").isNotNull(), "real").otherwise("text")
     return table.where("kind <> 'ERROR'").select("depth", "name", "kind", kind.alias("type")).distinct()
+
+
+def rebuilt(rows: list[dict]) -> Node:
+    """The tree of the node table's rows of one file; values are text and get their kinds back on encoding."""
+    made = {r["node_id"]: Node(r["name"], r["kind"], r["bit_start"], r["bit_len"], r["value"], r["branch"]) for r in rows}
+    root = None
+    for r in sorted(rows, key=lambda r: r["node_id"]):
+        if r["parent_id"] is None:
+            root = made[r["node_id"]]
+        else:
+            made[r["parent_id"]].children.append(made[r["node_id"]])
+    return root
+
+
+def _valued(e: Element, node: Node) -> None:
+    """Text values of a rebuilt tree as values of its description."""
+    if isinstance(e, Field):
+        if node.value is not None and e.kind != "STRING":
+            node.value = bytes.fromhex(node.value[2:]) if e.kind == "BYTES" else float(node.value) if e.kind.startswith("FLOAT") else int(node.value)
+        return
+    parts = [b for _, b in e.branches] + [e.others] if isinstance(e, Choice) else e.parts
+    for c in node.children:
+        _valued(next(p for p in parts if p is not None and p.name == c.name), c)
+
+
+def rewritten(nodes: DataFrame, d: Description) -> DataFrame:
+    """(doc_id, content): the files of a node table, written again from its rows; a file is one group."""
+
+    def run(own: pa.Table) -> pa.Table:
+        root = rebuilt(own.to_pylist())
+        for c in [root] if d.root.times.kind == "once" else root.children:
+            _valued(d.root, c)
+        return pa.table({"doc_id": pa.array([own.column("doc_id")[0].as_py()], pa.string()), "content": pa.array([encoded(root, d)], pa.binary())})
+
+    return nodes.groupBy("doc_id").applyInArrow(run, "doc_id string, content binary")

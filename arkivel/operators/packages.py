@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import io
+import re
+import xml.etree.ElementTree as ET
 import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,3 +86,42 @@ def bag(files: dict[str, bytes], info: dict[str, str], fetch: dict[str, tuple[st
         for p, t in tags.items():
             z.writestr(p, t)
     return out.getvalue()
+
+
+#: Namespaces of package metadata and the names they get.
+SCHEMES = {"http://www.loc.gov/METS/": "mets", "http://www.loc.gov/premis/v3": "premis", "info:lc/xmlns/premis-v2": "premis", "http://purl.org/dc/elements/1.1/": "dc", "http://purl.org/dc/terms/": "dcterms"}
+
+
+def metadata(files: DataFrame) -> DataFrame:
+    """(path, scheme, term, place, value, error) of the METS, PREMIS and Dublin Core elements of XML files (path, content).
+
+    Elements with text, and attributes of METS files (checksum, size, mimetype, href) as terms of their own. place counts
+    the elements of a file. What is not XML gives one row with an error.
+    """
+    names = ["path", "scheme", "term", "place", "value", "error"]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()]
+
+    def found(path: str, raw: bytes) -> Iterator[tuple]:
+        if re.search(rb"<!DOCTYPE|<!ENTITY", raw[:4096]):
+            raise ET.ParseError("document types are not read")
+        for i, e in enumerate(ET.fromstring(raw).iter()):
+            space, _, term = e.tag[1:].partition("}") if e.tag[:1] == "{" else ("", "", e.tag)
+            scheme = SCHEMES.get(space)
+            if scheme and (e.text or "").strip():
+                yield path, scheme, term, i, e.text.strip(), None
+            if scheme == "mets" and term in ("file", "FLocat"):
+                for k, v in sorted(e.attrib.items()):
+                    yield path, scheme, f"{term}@{k.rpartition('}')[2]}", i, v, None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for path, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    rows += found(path, raw or b"")
+                except (ET.ParseError, ValueError) as e:
+                    rows.append((path, None, None, 0, None, str(e)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return files.select("path", "content").mapInArrow(run, "path string, scheme string, term string, place int, value string, error string")

@@ -76,3 +76,23 @@ def display_limits(values: DataFrame, name: str, percent: float = 99.5) -> DataF
     lo, hi = int(cut * (n - 1) // 1), int(-(-(1 - cut) * (n - 1) // 1))
     picked = ranked.agg(F.max(F.when(F.col("rank") == lo, F.col("v"))).alias("low"), F.max(F.when(F.col("rank") == hi, F.col("v"))).alias("high"))
     return picked.select("low", F.when(F.col("low") == F.col("high"), F.col("high") + 1).otherwise(F.col("high")).alias("high"))
+
+
+def proposed(rows: DataFrame) -> DataFrame:
+    """(column, type, blanks, distinct) that a table of text columns seems to have, in one pass.
+
+    A type fits if all filled cells are of it: boolean, integer, decimal, date, else text; a column without filled cells
+    is text. distinct counts filled cells and is an estimate.
+    """
+    tests = {
+        "boolean": lambda c: F.lower(c).isin("true", "false"), "integer": lambda c: c.try_cast("bigint").isNotNull() & c.rlike(r"^[+-]?\d+$"),
+        "decimal": lambda c: c.try_cast("decimal(38,10)").isNotNull(), "date": lambda c: c.rlike(r"^\d{4}-\d{2}-\d{2}$") & c.try_cast("date").isNotNull(),
+    }
+    aggs = []
+    for i, name in enumerate(rows.columns):
+        cell = F.trim(F.col(f"`{name}`").cast("string"))
+        filled = cell.isNotNull() & (cell != "")
+        fits = [F.coalesce(F.bool_and(F.when(filled, F.coalesce(t(cell), F.lit(False)))), F.lit(False)) for t in tests.values()]
+        kind = F.coalesce(*[F.when(f, F.lit(k)) for f, k in zip(fits, tests, strict=True)], F.lit("text"))
+        aggs.append(F.struct(F.lit(i).alias("place"), F.lit(name).alias("column"), kind.alias("type"), F.count_if(~filled).alias("blanks"), F.approx_count_distinct(F.when(filled, cell)).alias("distinct")).alias(f"c{i}"))
+    return rows.agg(*aggs).select(F.explode(F.array(*[f"c{i}" for i in range(len(aggs))])).alias("c")).select("c.column", "c.type", "c.blanks", "c.distinct")

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from decimal import ROUND_HALF_EVEN, Context, Decimal
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -112,7 +112,9 @@ def _scaled(scale: str, offset: str, whole: bool):
 def mapped(rows: DataFrame, rule: For, kinds: dict[str, str]) -> DataFrame:
     """The target rows of one for: kinds are the Spark types of the target columns.
 
-    Plain copies are casts in the JVM; only scaled values, which need 16-digit decimals, go through Arrow.
+    Plain copies are casts in the JVM; only scaled values, which need 16-digit decimals, go through Arrow. An inner for
+    gives an array of structs, made of the elements of a source array (or of the one struct that it names); its kinds
+    are those of target.name, and its scaled values are decimals of the JVM.
     """
     source = rows if rule.source in ("", "self") or rule.source not in rows.columns else rows.select(F.explode(rule.source).alias("__row")).select("__row.*")
     out = []
@@ -127,11 +129,57 @@ def mapped(rows: DataFrame, rule: For, kinds: dict[str, str]) -> DataFrame:
         elif isinstance(r, Copy):
             value = F.col(r.source)
         else:
-            raise ValueError("an inner for needs rows of its own: map it by itself")
+            out.append(_inner(r, lambda name: F.col(name), kinds, "").alias(r.target))
+            continue
         out.append((value if isinstance(r, Text | Count) and kind == "string" else value.cast("string").try_cast(kind)).alias(r.target))
     return source.select(*out)
 
 
+def _inner(rule: For, look, kinds: dict[str, str], above: str) -> Column:
+    """The array of one inner for; look gives the Column of a name of the element around it."""
+
+    def element(e: Column) -> Column:
+        own = lambda name: e.getField(name)
+        made = []
+        for r in rule.body:
+            kind = kinds.get(f"{above}{rule.target}.{r.target}", "string")
+            if isinstance(r, For):
+                made.append(_inner(r, own, kinds, f"{above}{rule.target}.").alias(r.target))
+                continue
+            if isinstance(r, Text):
+                value = F.lit(r.value)
+            elif isinstance(r, Count):
+                value = F.size(own(r.source))
+            else:
+                value = own(r.source)
+                if r.scale or r.offset:
+                    value = value.cast("string").try_cast("decimal(30,12)") * F.lit(r.scale or "1").cast("decimal(38,18)") + F.lit(r.offset or "0").cast("decimal(30,12)")
+                    value = F.bround(value, 0) if kind in ("int", "bigint", "smallint", "tinyint") else value
+            made.append(value.cast("string").try_cast(kind).alias(r.target))
+        return F.struct(*made)
+
+    return F.transform(look(rule.source), element)
+
+
+def transformation_check(source: DataFrame, target: DataFrame, key: str, rule: For, kinds: dict[str, str]) -> DataFrame:
+    """(target, preserved, compared, max_difference) of each copy of a rule against rows that some other tool has made.
+
+    What the rule itself makes of the source is compared with target at equal keys, within the tolerance of the kind.
+    """
+    wanted, out = mapped(source, rule, kinds), None
+    for r in rule.body:
+        if isinstance(r, Copy) and r.target != key:
+            got = property_check(wanted, target, key, r.target, r.target, *tolerance(kinds.get(r.target, "string"), r.scale))
+            got = got.select(F.lit(r.target).alias("target"), "preserved", "compared", "max_difference")
+            out = got if out is None else out.unionByName(got)
+    return out
+
+
+def preserved_summary(checks: DataFrame) -> DataFrame:
+    """(preserved, checked) of the rows of a transformation check."""
+    return checks.agg(F.count_if("preserved").alias("preserved"), F.count("*").alias("checked"))
+
+
 def missing_targets(rules: tuple, wanted: list[str]) -> list[str]:
     have = {c.target for c in copies(rules)} | {r.target for r in rules if isinstance(r, Count | Text)}
     return [w for w in wanted if w not in have]

@@ -89,3 +89,30 @@ def fits_storage(low: float | None, high: float | None, fractions: int) -> tuple
         if least <= low and high <= least + (1 << bits) - 1:
             return bits, zero
     return -64, 0
+
+
+def spectrum(data: DataFrame, x: str, y: str) -> DataFrame:
+    """(x, y) of two numeric columns; rows without two finite numbers go."""
+    number = lambda c: F.col(c).cast("string").try_cast("double")
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf"))
+    return data.select(number(x).alias("x"), number(y).alias("y")).where(finite("x") & finite("y"))
+
+
+def read_spec(xml: str) -> tuple[str, dict]:
+    """(kind, settings) of a view text: series (start, end, columns), vector (kind, vertices, columns), image (row, pixels)."""
+    import xml.etree.ElementTree as ET
+
+    root = ET.fromstring(xml)
+    columns = tuple(c.get("name") for c in root.iter("column"))
+    if (e := root.find("series")) is not None:
+        return "series", {"start": e.get("start"), "end": e.get("end"), "columns": columns}
+    if (e := root.find("vector")) is not None:
+        return "vector", {"kind": e.get("kind", "point"), "vertices": [[o.text for o in v.iter("ordinate")] for v in e.iter("vertex")], "columns": columns}
+    if (e := root.find("image")) is not None:
+        return "image", {"row": e.get("row"), "pixels": e.get("pixels")}
+    raise ValueError("neither series, vector nor image")
+
+
+def apply_spec(data: DataFrame, xml: str) -> DataFrame:
+    kind, settings = read_spec(xml)
+    return {"series": time_series, "vector": vector, "image": image}[kind](data, **settings)

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import data, graph  # noqa: F401  the modules register their queries
+    from . import data, graph, more  # noqa: F401  the modules register their queries
 
     return dict(graph.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import data, graph  # noqa: F401
+    from . import data, graph, more  # noqa: F401
 
     return dict(graph.ORACLES)
