@@ -4,7 +4,7 @@ P(w | h) = l2 * c(h w) / c(h) + l1 * c(w) / N + l0 / (V + 1); the mixture weight
 learned by expectation-maximisation on the counts of held-out training blocks, against the maximum-likelihood estimates
 of all other training blocks. The final estimates use all training counts.
 
-Documents are dealt into blocks by doc_id. A block sends its distinct n-grams once, with counts: that is its share of
+Documents are dealt into blocks by doc_id and text. A block sends its distinct n-grams once, with counts: that is its share of
 the corpus counts and its request for them. Requests meet by ranges of n-gram hashes, where counts are summed and sent
 back to each block in the order it asked. So each occurrence is looked up within its block, and what is moved grows
 with distinct n-grams per block, not with tokens. n-grams are told apart by 64-bit hashes.
@@ -56,7 +56,7 @@ def tokens(arr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _distinct(one: np.ndarray, two: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(keys, counts, place of each unigram, place of each bigram) of a block; keys in ascending order."""
     keys, where = np.unique(np.concatenate([one, two]), return_inverse=True)
-    counts = np.bincount(where, np.concatenate([weight, weight]), len(keys)).astype(np.uint32)
+    counts = np.bincount(where, np.concatenate([weight, weight]), len(keys)).astype(np.uint64)
     return keys, counts, where[: len(one)], where[len(one) :]
 
 
@@ -86,12 +86,12 @@ def _keys(raw: bytes) -> np.ndarray:
 def _small(counts: np.ndarray) -> bytes:
     """Counts with one byte each where that is enough."""
     low = np.minimum(counts, 255).astype(np.uint8)
-    return low.tobytes() + counts[counts >= 255].astype(np.uint32).tobytes()
+    return low.tobytes() + counts[counts >= 255].astype(np.uint64).tobytes()
 
 
 def _counts(raw: bytes, n: int) -> np.ndarray:
-    out = np.frombuffer(raw, np.uint8, n).astype(np.uint32)
-    out[out == 255] = np.frombuffer(raw, np.uint32, offset=n)
+    out = np.frombuffer(raw, np.uint8, n).astype(np.uint64)
+    out[out == 255] = np.frombuffer(raw[n:], np.uint64)
     return out
 
 
@@ -125,12 +125,12 @@ def _answer(held: int):
         counts = np.concatenate([_counts(c, n) for _, n, _, c in rows])
         out = np.concatenate([np.full(n, b % held == 0) for b, n, _, _ in rows])
         distinct, where = np.unique(keys, return_inverse=True)
-        everything = np.bincount(where, counts, len(distinct)).astype(np.uint32)
-        fitted = everything - np.bincount(where, counts * out, len(distinct)).astype(np.uint32)
+        everything = np.bincount(where, counts, len(distinct)).astype(np.uint64)
+        fitted = everything - np.bincount(where, counts * out, len(distinct)).astype(np.uint64)
         ends = np.cumsum([0, *(n for _, n, _, _ in rows)])
         total, less = everything[where], fitted[where]
         known = int(((distinct & _U(1)) == 0)[everything > 0].sum())
-        return pa.table({"block": pa.array([b for b, _, _, _ in rows], pa.int32()), "part": pa.array([part] * len(rows), pa.int32()), "vocabulary": pa.array([known, *[0] * (len(rows) - 1)], pa.int64()), "n": pa.array([n for _, n, _, _ in rows], pa.int32()), "total": pa.array([_small(total[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), "fitted": pa.array([_small(less[a:b]) if r[0] % held == 0 else b"" for r, a, b in zip(rows, ends[:-1], ends[1:], strict=True)], pa.binary())})
+        return pa.table({"block": pa.array([b for b, _, _, _ in rows], pa.int32()), "part": pa.array([part] * len(rows), pa.int32()), "tokens": table.column("tokens").combine_chunks(), "vocabulary": pa.array([known, *[0] * (len(rows) - 1)], pa.int64()), "n": pa.array([n for _, n, _, _ in rows], pa.int32()), "total": pa.array([_small(total[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), "fitted": pa.array([_small(less[a:b]) if r[0] % held == 0 else b"" for r, a, b in zip(rows, ends[:-1], ends[1:], strict=True)], pa.binary())})
 
     return answer
 
@@ -212,12 +212,11 @@ def scored(docs: DataFrame, learns, block_bytes: int = BLOCK_BYTES, held: int =
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(BLOCKS_AT_LEAST, -(-size // block_bytes))
     parts = 1 << max(3, (blocks - 1).bit_length())
-    rows = docs.select("doc_id", "text", F.coalesce(learns, F.lit(False)).alias("learns"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
+    rows = docs.select("doc_id", "text", F.coalesce(learns, F.lit(False)).alias("learns"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
     asked = rows.groupBy("block").applyInArrow(_ask(parts), "block int, part int, n int, keys binary, counts binary, tokens long")
-    asked = materialize(asked, "asked")
-    answers = materialize(asked.select("block", "part", "n", "keys", "counts").groupBy("part").applyInArrow(_answer(held), "block int, part int, vocabulary long, n int, total binary, fitted binary"), "answers")
-    n, n_held = asked.agg(F.sum("tokens"), F.sum(F.when(F.col("block") % held == 0, F.col("tokens")))).first()
-    v = answers.agg(F.sum("vocabulary")).first()[0]
+    answers = asked.groupBy("part").applyInArrow(_answer(held), "block int, part int, tokens long, vocabulary long, n int, total binary, fitted binary")
+    answers = materialize(answers, "answers")
+    n, n_held, v = answers.agg(F.sum("tokens"), F.sum(F.when(F.col("block") % held == 0, F.col("tokens"))), F.sum("vocabulary")).first()
     n, n_held, v = n or 0, n_held or 0, v or 0
     some = F.col("block") % held == 0
     grid = rows.where(some).groupBy("block").cogroup(answers.where(some).groupBy("block")).applyInArrow(_statistics(n - n_held, v), "bucket int, two int, one int, n long")
