@@ -122,14 +122,14 @@ def _pieces(path: str, capacity: int, with_ids: bool):
     return pieces
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = True, nth: str | None = None) -> DataFrame:
     """(doc_id, nth, piece, start, length, ids_crc32[, ids]) of all texts; each text ends with id 0; null is empty.
 
-    ids are little-endian 32-bit numbers. nth is a column of docs that tells rows of one doc_id apart, or 0.
+    ids are little-endian 32-bit numbers. nth names a column of docs with a number that tells rows of one doc_id apart; otherwise it is 0.
     """
-    nth = F.col("nth").cast("long") if "nth" in docs.columns else F.lit(0).cast("long")
+    number = (F.col(nth) if nth else F.lit(0)).cast("long")
     schema = "doc_id long, nth long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select("doc_id", nth.alias("nth"), "text").mapInArrow(_pieces(path, capacity, with_ids), schema)
+    return docs.select("doc_id", number.alias("nth"), "text").mapInArrow(_pieces(path, capacity, with_ids), schema)
 
 
 def fullest(lengths: list[int], counts: list[int], room: int) -> list[tuple[int, int]]:
@@ -206,14 +206,14 @@ def _placer(patterns: list[tuple[int, list[tuple[int, int]]]]):
     return place
 
 
-def packed(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, nth: str | None = None) -> DataFrame:
     """One row per piece: doc_id, nth, piece, start, length, ids_crc32, sequence_id, offset.
 
     Every sequence holds at most capacity ids, without gaps. Rows that repeat a doc_id are documents of their own; a
     null doc_id stays null. A null or empty text is one piece of the id 0. Other columns are ignored; an empty table
     gives no rows. The ids themselves come from pieces().
     """
-    held = materialize(pieces(docs, path, capacity, False), "pieces")
+    held = materialize(pieces(docs, path, capacity, False, nth), "pieces")
     histogram = {r["length"]: r["n"] for r in held.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     schema = "doc_id long, nth long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     if not histogram:

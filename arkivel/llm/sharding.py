@@ -16,6 +16,7 @@ from .common import materialize, unit
 
 #: Parts of a shard that are numbered on their own; bounds the rows of one task at any input size that 8 x SLICES tasks can hold.
 SLICES = 512
+SLICE_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -62,14 +63,15 @@ def placed(key: Column, node: Node) -> Column:
     return out
 
 
-def numbered(rows: DataFrame, by: list[str], order: list[str], name: str, slices: int = SLICES) -> DataFrame:
+def numbered(rows: DataFrame, by: list[str], order: list[str], name: str, slices: int | None = None) -> DataFrame:
     """rows with a gapless number from 0 within each group of by.
 
     A group is cut into slices by a hash of order; a slice is numbered alone and starts after those before it, so
-    no task holds a whole group. rows must be cheap to read twice and must have no column named slice.
+    no task holds a whole group. The number of slices follows the number of rows. rows must be cheap to read twice and must have no column named slice.
     """
     from pyspark.sql import Window as W
 
+    slices = slices or max(SLICES, rows.count() // SLICE_ROWS)
     rows = rows.withColumn("slice", F.pmod(F.xxhash64(*order), F.lit(slices)).cast("int"))
     counts = materialize(rows.groupBy(*by, "slice").agg(F.count("*").alias("n")), "slices")
     before = counts.withColumn("before", F.sum("n").over(W.partitionBy(*by).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)))

@@ -194,7 +194,7 @@ def test_packing(docs, rows):
     ids = defaultdict(list)
     for d, t, *_ in rows:
         ids[d].append([*plain.encode(t or "", add_special_tokens=False).ids, 0])
-    got = packing.packed(docs, PATH, 256).toPandas()
+    got = packing.packed(docs.withColumn("nth", F.lit("not a number")).withColumn("start", F.lit("x")), PATH, 256).toPandas()
     for d, own in ids.items():
         part = got[got.doc_id.isna()] if d is None else got[got.doc_id == d]
         assert part.length.sum() == sum(map(len, own))
@@ -235,22 +235,22 @@ def test_line_dedup(spark, docs, rows):
     assert {"digest", "rep", "slice", "p", "key"} <= set(got.columns)  # other columns stay
     got = got.toPandas()
     digest = lambda b: hashlib.md5(b).hexdigest()
-    chunks = []
+    chunks = set()
     for place, (d, t, *_) in enumerate(rows):
-        if t is None:
-            continue
-        lines, hs, start = t.split("\n"), [digest(x.encode()) for x in t.split("\n")], 0
-        for i in range(len(lines)):
-            if i == len(lines) - 1 or int(digest("".join(hs[max(0, i - 1) : i + 1]).encode())[:4], 16) % line_dedup.MEAN == 0:
-                chunks.append((place, d, start, "\n".join(lines[start : i + 1]), i + 1 - start))
-                start = i + 1
-    first = {}
+        for salt in line_dedup.SALTS if t is not None else ():
+            lines, hs, start = t.split("\n"), [digest(x.encode()) for x in t.split("\n")], 0
+            for i in range(len(lines)):
+                if i == len(lines) - 1 or int(digest((salt + "".join(hs[max(0, i - 1) : i + 1])).encode())[:4], 16) % line_dedup.MEAN == 0:
+                    chunks.add((place, d, start, "\n".join(lines[start : i + 1]), i + 1 - start))
+                    start = i + 1
+    first, gone = {}, defaultdict(set)
     for c in sorted(chunks, key=lambda c: (c[1] is None, c[1] or 0, c[2])):
         first.setdefault((c[3], c[4]), (c[1], c[2]))
-    kept = defaultdict(list)
     for place, d, s, body, n in chunks:
-        if n < 2 or first[body, n] == (d, s):
-            kept[place].append(body)
+        if n >= 2 and first[body, n] != (d, s):
+            gone[place].update(range(s, s + n))
+    kept = {i: [x for k, x in enumerate((t or "").split("\n")) if k not in gone[i]] for i, (_, t, *_) in enumerate(rows)}
+    assert {x for _, t, *_ in rows if t for x in t.split("\n")} <= {x for v in kept.values() for x in v}  # no line is lost everywhere
     want = Counter((d, "\n".join(kept[i]) if t is not None else None) for i, (d, t, *_) in enumerate(rows))
     have = Counter((None if math.isnan(r.doc_id) else int(r.doc_id), r.text) for r in got.itertuples())
     assert have == want
