@@ -24,6 +24,8 @@ DIM, FILTERS, WIDTHS, PAD = 8, 8, (1, 2, 3), 3
 WORDS, STEMS = 1 << 17, 1 << 15
 #: Labelled rows that training takes at most: those with the smallest hash of doc_id.
 MAX_ROWS = 8000
+#: Longest text, in bytes, that the classifier is trained on; all are scored whole.
+MAX_BYTES = 1 << 15
 #: Frequent function words by language, for the guess of a text's language.
 FUNCTION_WORDS = {
     "en": "the of and to in is that it for was with are this on be".split(),
@@ -243,10 +245,11 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("label").slice(i, j - i), pa.array(rows, pa.binary())], ["doc_id", "label", "words"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable=None, max_rows: int = MAX_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, usable=None, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
     """Train on the labelled rows of docs; labels: (doc_id, toxic). usable: a condition on doc_id, if not all may be used.
 
-    Takes max_rows labels at most, so what the driver holds is bounded. Null labels are left out; if a doc_id has
+    Takes max_rows labels at most, and of their texts those of max_bytes at most, so what the driver holds is bounded;
+    of several texts of one doc_id the smallest. Null labels are left out; if a doc_id has
     several, the largest counts. Without labels of both kinds the model gives all texts one score.
     """
     known = labels.where("doc_id is not null and toxic is not null")
@@ -254,7 +257,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None, max_rows: int = MAX_ROW
         known = known.where(usable)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     known = known.select("doc_id", F.col("label").cast("int").alias("label"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # max_rows rows of two numbers
+    rows = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes)
+    rows = rows.join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")  # max_rows rows of two numbers
     got = rows.mapInArrow(_featured, "doc_id long, label int, words binary").toArrow()
     got = got.sort_by("doc_id")
     texts = [np.frombuffer(w.as_buffer(), np.int32).reshape(-1, 3) for w in got.column("words")]
