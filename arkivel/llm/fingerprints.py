@@ -8,6 +8,7 @@ joins bands of the minima in Spark and verifies the Jaccard similarity on the fu
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,8 @@ from .near_dedup import band_keys, class_links
 from .texts import column, groups, hashes, mix, shingles, words
 
 PERMUTATIONS, WIDTH, BANDS, ROWS = 128, 5, 21, 6
-#: Documents of a range in with_next(), on average.
-RANGE_ROWS = 2000
+#: Bytes of text of a range in with_next(), on average.
+RANGE_BYTES = 8 << 20
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(0, 1 << 63, 1024, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, 1024, np.uint64)
@@ -102,7 +103,23 @@ def _compared(permutations: int, width: int):
     return run
 
 
-def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+def _cuts(ids: DataFrame, parts: int) -> list[int]:
+    """About parts quantiles of key, in two steps, so that no task holds a summary of more than its share of them."""
+    outer = math.isqrt(parts - 1) + 1
+    inner = -(-parts // outer)
+    first = ids.agg(F.percentile_approx("key", [i / outer for i in range(1, outer)], 20 * outer)).first()[0] if outer > 1 else []
+    edges = np.unique(np.array(first or [], np.int64))
+
+    @F.pandas_udf("int")
+    def range_of(keys):
+        return type(keys)(np.searchsorted(edges, keys.to_numpy(), "right").astype(np.int32))
+
+    of = ids.withColumn("of", range_of("key"))
+    second = of.groupBy("of").agg(F.percentile_approx("key", [i / inner for i in range(1, inner)] or [0.5], 20 * inner).alias("cuts"))
+    return [*(first or []), *(c for r in second.select(F.explode("cuts").alias("c")).distinct().collect() for c in [r["c"]])]
+
+
+def with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(place, tail, doc_id, text), each partition in order: after the rows of a place the first of the next place, as tail.
 
     Places are ranges of doc_id between quantiles of the ids. Each quantile is itself a doc_id, so a range begins with
@@ -111,10 +128,10 @@ def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     spark = docs.sparkSession
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
     ids = docs.select(key.alias("key"))
-    n, low = ids.agg(F.count("*"), F.min("key")).first()
-    parts = max(1, -(-n // range_rows))
-    cuts = ids.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] if parts > 1 else []
-    bounds = spark.sparkContext.broadcast(np.unique(np.array([low or 0, *(cuts or [])], np.int64)))  # a number per range_rows rows
+    size, low = docs.agg(F.sum(F.octet_length("text")), F.min(key)).first()
+    parts = max(1, -(-(size or 0) // range_bytes))
+    cuts = _cuts(ids, parts) if parts > 1 else []
+    bounds = spark.sparkContext.broadcast(np.unique(np.array([low or 0, *cuts], np.int64)))  # a number per range_bytes of text
 
     @F.pandas_udf("long")
     def place_of(ids):
