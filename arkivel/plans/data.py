@@ -169,7 +169,7 @@ def expression_columns(spark, sf_dir):
     return rows.select("o_orderkey", column(parse("price >= 1000 and price * 1 > 999 and status = 'F' or not key % 2 = 0"), lambda r: known[r[0]]).alias("v"))
 
 
-@query()
+@query("SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages")
 def page_titles(spark, sf_dir):
     """Titles of pages that are well-formed enough for a pattern."""
     return READ(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"))
