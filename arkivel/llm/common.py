@@ -44,11 +44,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete written tables that nothing reads any more; results that are still to be computed must not go back to them."""
+    """Delete written tables that nothing reads any more; results that are still to be computed must not go back to them.
+
+    Spark removes the shuffle files of a step when the driver's heap has forgotten its plan; collecting the heap here
+    lets those of written steps go as well, rather than whenever the heap happens to fill up.
+    """
     for df in tables:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        spark._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 
 def _smallest(edges: DataFrame) -> DataFrame:
@@ -31,10 +31,11 @@ def components(edges: DataFrame) -> DataFrame:
         low = _smallest(both)
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialize(large, "large")
+        release(pairs, low)
         low = _smallest(large)
         moved = large.join(low, "u")
         small = moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.where("u <> m").select("u", F.col("m").alias("v"))).distinct()
-        small = materialize(small, "small")
-        pairs = small
+        pairs = materialize(small, "small")
+        release(large, low)
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 from .components import components
 from .texts import MIX1, MIX2, mix, shingle_sets
 
@@ -76,12 +76,25 @@ def _sketcher(bands: int, rows: int, width: int):
     return sketch
 
 
+def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as zstd blocks with their sizes, so that a shuffle moves less of them; a null is empty."""
+    for batch in batches:
+        raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
+        packed = pa.array([pa.compress(r, "zstd", asbytes=True) for r in raw], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r in raw], pa.int64()), packed], ["doc_id", "size", "text"])
+
+
+def _opened(batch: pa.RecordBatch) -> pa.Array:
+    sizes, blocks = batch.column("size").to_pylist(), batch.column("text").to_pylist()
+    return pa.array([pa.decompress(b, n, "zstd", asbytes=True) if n else b"" for n, b in zip(sizes, blocks, strict=True)], pa.large_binary()).cast(pa.large_string())
+
+
 def _sets(width: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, held, size = batch.column(0), [], 0
             done = 0
-            for i, x in shingle_sets(batch.column(1), width):
+            for i, x in shingle_sets(_opened(batch), width):
                 held.append(x.tobytes())
                 size += x.nbytes
                 if size > 4 << 20:
@@ -179,48 +192,62 @@ def class_links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT, wid
     active = classes.select("rep", "n", F.explode("bands").alias("key"))
     shared = materialize(active.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key"), "buckets")
     active = materialize(active.join(shared, "key").select("key", "rep", "n"), "members")
+    spent, labelled = [shared, active], []
     if active.isEmpty():
+        release(*spent)
         return None
     needed = active.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(needed.hint("merge"), "doc_id", "left_semi")  # ids grow with the input: no broadcast
+    texts = docs.select("doc_id", "text").mapInArrow(_pressed, "doc_id long, size long, text binary")
+    texts = texts.join(needed.hint("merge"), "doc_id", "left_semi")  # ids grow with the input: no broadcast
     sets = materialize(texts.mapInArrow(_sets(width), "rep long, hashes binary"), "sets")
+    release(shared)
     fresh, tested, links, labels = active, None, None, None
     while True:
         # Buckets with new members; all others were settled when they last had some, as components only grow together.
         now = active if tested is None else active.join(fresh.select("key").distinct(), "key", "left_semi")
         now = materialize(_labelled(now, labels), "open")
         stars = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("n", "rep")).alias("c"), F.sum("n").alias("total"))
-        centres = materialize(stars.where("lo < hi").select("key", F.col("c.rep").alias("centre"), (F.col("total") > TASK_SHINGLES).alias("wide")), "centres")
-        # Every member is compared, also those linked with the centre: others may be linked to them alone.
-        pairs = now.join(centres, "key").where("rep <> centre").groupBy("centre", "rep", "n").agg(F.max("wide").alias("wide"))
+        centres = materialize(stars.where("lo < hi").select("key", F.col("c.rep").alias("centre"), F.col("c.n").alias("least"), (F.col("total") > TASK_SHINGLES).alias("wide")), "centres")
+        if centres.isEmpty():
+            spent += [now, centres]
+            break
+        # Every member is compared, also those linked with the centre: others may be linked to them alone. Only one too
+        # large for a link with the centre is not, in a bucket that is settled within a task: it needs no keys.
+        able = F.col("wide") | (F.col("n") * percent <= F.col("least") * 100)
+        pairs = now.join(centres, "key").where((F.col("rep") != F.col("centre")) & able).groupBy("centre", "rep", "n").agg(F.max("wide").alias("wide"))
         if tested is not None:  # a pair is compared again only if it had no keys and now needs them
             seen = tested.select(F.col("centre").alias("c"), F.col("rep").alias("r"), F.col("wide").alias("keyed"))
             pairs = pairs.join(seen, (F.col("centre") == F.col("c")) & (F.col("rep") == F.col("r")) & (F.col("keyed") | ~F.col("wide")), "left_anti")
         pairs = materialize(pairs, "pairs")
-        if pairs.isEmpty():
-            break
         left = sets.select(F.col("rep").alias("centre"), F.col("hashes").alias("x"))
         common = pairs.join(left, "centre").join(sets.withColumnRenamed("hashes", "y"), "rep")
         common = common.mapInArrow(_comparer(percent), "centre long, rep long, n long, common long, whole long, apart array<long>")
         common = materialize(common, "common")
         found = materialize(common.where(F.col("common") * 100 >= F.col("whole") * percent).select(F.col("centre").alias("a"), F.col("rep").alias("b")), "links")
         tested = pairs if tested is None else tested.union(pairs)
+        spent += [pairs, common, found]
         if not found.isEmpty():
             links = found if links is None else links.union(found)
             labels = materialize(components(links), "labels")
+            labelled.append(labels)
         rest = now.select("key", "rep", "n").join(centres.where("not wide"), "key").where("rep <> centre").select("key", "rep", "n")
         rest = materialize(_labelled(rest, labels), "rest")
+        release(now, centres)
         still = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"))
         still = still.where("lo < hi").groupBy("members", "who").agg(F.min("key").alias("key")).select("key")  # buckets of the same members once
         inside = rest.join(still, "key").join(sets.hint("merge"), "rep").select("key", "rep", "n", "comp", "hashes")
         inside = materialize(inside.groupBy("key").applyInArrow(_settler(percent), "a long, b long").distinct(), "inside")
+        release(rest)
+        spent.append(inside)
         if not inside.isEmpty():
             links = inside if links is None else links.union(inside)
             labels = materialize(components(links), "labels")
+            labelled.append(labels)
         fresh = common.where(F.size("apart") > 0).select(F.explode("apart").alias("key"), "rep", "n")
         if fresh.isEmpty():
             break
         active = active.union(fresh)
+    release(*[t for t in spent if t is not shared], sets, *labelled[:-1])
     return labels
 
 
@@ -231,14 +258,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     has no shingles and no links. Rows that repeat a doc_id form one document each by their text; a null doc_id gets
     a null component and is kept. Other columns of docs are ignored. An empty table gives no rows.
     """
-    held = materialize(sketches(docs, bands, rows, width), "sketches")
-    some = held.where("digest is not null and doc_id is not null")
+    sketched = materialize(sketches(docs, bands, rows, width), "sketches")
+    some = sketched.where("digest is not null and doc_id is not null")
     classes = materialize(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
     labels = class_links(docs, classes, percent, width)
     names = classes.select("digest", "rep")
     if labels is not None:
         names = names.join(labels, names["rep"] == labels["node"], "left").select("digest", F.coalesce("component", "rep").alias("rep"))
     names = materialize(names, "names")
-    out = held.select("doc_id", "n_shingles", "digest").join(names, "digest", "left")
+    held = materialize(sketched.select("doc_id", "n_shingles", "digest"), "held")  # without the bands
+    release(sketched, classes, *([labels] if labels is not None else []))
+    out = held.join(names, "digest", "left")
     component = F.coalesce("rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
