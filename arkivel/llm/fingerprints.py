@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 from .near_dedup import band_keys, class_links
 from .texts import column, groups, hashes, mix, shingles, words
 
 PERMUTATIONS, WIDTH, BANDS, ROWS = 128, 5, 21, 6
 #: Bytes of text of a range in with_next(), on average.
 RANGE_BYTES = 8 << 20
+#: Columns of with_next().
+_DEALT = ["place", "tail", "doc_id", "text_key", "says", "class_id", "text"]
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(0, 1 << 63, 1024, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, 1024, np.uint64)
@@ -63,31 +65,37 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str, str]]:
-    """(doc_id, text, next text) of the rows of each range, in order; a row of the next range comes last and is none itself."""
-    before = None
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str, int | None, str]]:
+    """(doc_id, text, class_id, next text) of the rows of each range, in order; a row of the next range comes last and is none itself.
+
+    The class of a text comes in a row of its own just before the rows of that doc_id and text.
+    """
+    before, named, of = None, None, None
     for batch in batches:
-        for place, tail, doc_id, text in zip(*(batch.column(c) for c in ("place", "tail", "doc_id", "text")), strict=True):
-            row = (place.as_py(), tail.as_py(), doc_id.as_py(), text.as_py() or "")
+        for place, tail, doc_id, text_key, says, class_id, text in zip(*(batch.column(c).to_pylist() for c in _DEALT), strict=True):
+            if says:
+                named, of = (doc_id, text_key), class_id
+                continue
+            row = (place, tail, doc_id, text or "", of if named == (doc_id, text_key) else None)
             if before is not None and not before[1]:
                 assert before[0] == row[0], "a range ends without the first row of the next"
-                yield before[2], before[3], row[3]
+                yield before[2], before[3], before[4], row[3]
             before = row
 
 
 def _compared(permutations: int, width: int):
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id"]
 
     def flush(held):
-        ids, texts, after = zip(*held, strict=True)
+        ids, texts, classes, after = zip(*held, strict=True)
         changed = [edited(t, a) for t, a in zip(texts, after, strict=True)]
         chain = [*texts, after[-1]] if all(a is b for a, b in zip(after, texts[1:], strict=False)) else None
         prints = short(minima(_sets(chain or [*texts, *after], width), permutations))
         own, following = prints[: len(held)], prints[1:] if chain else prints[len(held) :]
         other = short(minima(_sets(changed, width), permutations))
         shas = [hashlib.sha256(t.encode()).hexdigest() for t in changed]
-        cols = [ids, [len(t) for t in texts], shas, [p.tobytes().hex() for p in own], [p.tobytes().hex() for p in other], (own == other).mean(axis=1), (own == following).mean(axis=1)]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()], strict=True)], names)
+        cols = [ids, [len(t) for t in texts], shas, [p.tobytes().hex() for p in own], [p.tobytes().hex() for p in other], (own == other).mean(axis=1), (own == following).mean(axis=1), classes]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()], strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -119,8 +127,11 @@ def _cuts(ids: DataFrame, parts: int) -> list[int]:
     return [*(first or []), *(c for r in second.select(F.explode("cuts").alias("c")).distinct().collect() for c in [r["c"]])]
 
 
-def with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """(place, tail, doc_id, text), each partition in order: after the rows of a place the first of the next place, as tail.
+def with_next(docs: DataFrame, classes: DataFrame | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(place, tail, doc_id, text_key, says, class_id, text), each partition in order: after the rows of a place the first of the next place, as tail.
+
+    classes (doc_id, text_key, class_id), one row for each doc_id and text, are dealt along, as rows that only say a
+    class: so they meet their texts without a join of their own.
 
     Places are ranges of doc_id between quantiles of the ids. Each quantile is itself a doc_id, so a range begins with
     it, and one shuffle of the texts brings every row and the one after it to one task. Null doc_ids come first.
@@ -145,24 +156,30 @@ def with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     last = F.lit(len(bounds.value))
     rows = docs.select("doc_id", "text", key.alias("key")).withColumn("at", place_of("key")).withColumn("leads", leads("key"))
     both = F.array(F.struct(F.col("at").alias("place"), F.lit(False).alias("tail")), F.struct(F.pmod(F.col("at") - 1, last).alias("place"), F.lit(True).alias("tail")))
-    rows = rows.select("doc_id", "text", "key", F.explode(F.when(F.col("leads"), both).otherwise(F.slice(both, 1, 1))).alias("p")).select("p.place", "p.tail", "key", "doc_id", "text")
+    rows = rows.select("doc_id", "text", "key", F.explode(F.when(F.col("leads"), both).otherwise(F.slice(both, 1, 1))).alias("p"))
+    rows = rows.select("p.place", "p.tail", "key", "doc_id", F.xxhash64("text").alias("text_key"), F.lit(False).alias("says"), F.lit(None).cast("long").alias("class_id"), "text")
+    if classes is not None:
+        said = classes.select(key.alias("key"), "doc_id", "text_key", "class_id").withColumn("place", place_of("key"))
+        rows = rows.unionByName(said.select("place", F.lit(False).alias("tail"), "key", "doc_id", "text_key", F.lit(True).alias("says"), "class_id", F.lit(None).cast("string").alias("text")))
     dealt = rows.repartition(max(8, len(bounds.value)), "place")
-    return dealt.sortWithinPartitions("place", "tail", "key", F.xxhash64("text")).select("place", "tail", "doc_id", "text")
+    return dealt.sortWithinPartitions("place", "tail", "key", "text_key", F.col("says").desc()).select(*_DEALT)
 
 
-def compared(docs: DataFrame, permutations: int = PERMUTATIONS, width: int = WIDTH) -> DataFrame:
+def compared(docs: DataFrame, classes: DataFrame | None = None, permutations: int = PERMUTATIONS, width: int = WIDTH) -> DataFrame:
     """One row per row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The next document is the one that follows by (doc_id, hash of the text), the first after the last. A null text is
     empty; an empty text has no shingles, a fingerprint of its own, and is like other empty texts only. Equal texts
-    have equal fingerprints. Null doc_ids come first; an empty table gives no rows; other columns are ignored.
+    have equal fingerprints. Null doc_ids come first; an empty table gives no rows; other columns are ignored. With
+    classes, as near() gives them, class_id comes as well.
     """
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs).mapInArrow(_compared(permutations, width), schema)
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long"
+    out = with_next(docs, classes).mapInArrow(_compared(permutations, width), schema)
+    return out if classes is not None else out.drop("class_id")
 
 
 def fingerprints(docs: DataFrame, permutations: int = PERMUTATIONS, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, fingerprint, digest, n_shingles, bands): digest names the shingle set (null if empty), bands its keys."""
+    """(doc_id, text_key, digest, n_shingles, bands): digest names the shingle set (null if empty), bands its keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,15 +190,16 @@ def fingerprints(docs: DataFrame, permutations: int = PERMUTATIONS, width: int =
                 low = minima(sets, permutations)
                 keys = [band_keys(m[: bands * rows].astype(np.uint64), bands, rows).tolist() if len(x) else [] for m, x in zip(low, sets, strict=True)]
                 digests = [hashlib.sha256(x.tobytes()).digest()[:16] if len(x) else None for x in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([p.tobytes().hex() for p in short(low)], pa.string()), pa.array(digests, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fingerprint", "digest", "n_shingles", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(digests, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_key", "digest", "n_shingles", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string, digest binary, n_shingles long, bands array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id long, text_key long, digest binary, n_shingles long, bands array<long>")
 
 
 def near(docs: DataFrame, percent: int = 80, permutations: int = PERMUTATIONS, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, fingerprint, class_id): documents whose signature bands meet and whose Jaccard similarity is verified.
+    """(doc_id, text_key, class_id): documents whose signature bands meet and whose Jaccard similarity is verified.
 
-    class_id is the smallest doc_id that verified links lead to; texts without words are alone.
+    class_id is the smallest doc_id that verified links lead to; texts without words are alone. text_key is the hash of
+    the text; there is one row for each doc_id and text.
     """
     held = materialize(fingerprints(docs, permutations, width, bands, rows), "fingerprints")
     classes = materialize(held.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
@@ -190,12 +208,12 @@ def near(docs: DataFrame, percent: int = 80, permutations: int = PERMUTATIONS, w
     if labels is not None:
         names = names.join(labels, names["rep"] == labels["node"], "left").select("digest", F.coalesce("component", "rep").alias("rep"))
     names = materialize(names, "names")
-    return held.join(names, "digest", "left").select("doc_id", "fingerprint", F.coalesce("rep", "doc_id").alias("class_id"))
+    named = held.join(names, "digest", "left").select("doc_id", "text_key", F.coalesce("rep", "doc_id").alias("class_id"))
+    named = materialize(named.groupBy("doc_id", "text_key").agg(F.min("class_id").alias("class_id")), "class_ids")
+    release(held, classes, names, *([labels] if labels is not None else []))
+    return named
 
 
 def compared_with_classes(docs: DataFrame) -> DataFrame:
     """The rows of compared() with the class_id of near()."""
-    classes = near(docs).groupBy("doc_id", "fingerprint").agg(F.min("class_id").alias("class_id"))
-    classes = materialize(classes, "class_ids").withColumnsRenamed({"doc_id": "__id", "fingerprint": "__print"})
-    rows = compared(docs)
-    return rows.join(classes.hint("merge"), rows["doc_id"].eqNullSafe(F.col("__id")) & (rows["fingerprint"] == F.col("__print")), "left").select(*rows.columns, "class_id")
+    return compared(docs, near(docs))
