@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 def with_paths(nodes: DataFrame, most: int = 64) -> DataFrame:
     """nodes with path (/a/b[2]/c: an index from 1 at each step that has siblings of its name) and names (/a/b/c).
 
-    One join for each level of depth, of which there are most at most; a level without nodes ends it.
+    One join for each level of depth, of which there are most at most; a level without nodes ends it. Levels grow with
+    the input, and decoded rows are far more than the files' size lets Spark expect: they are merged, never broadcast.
     """
     same = W.partitionBy("doc_id", "parent_id", "name")
     step = F.when(F.count("*").over(same) > 1, F.concat("name", F.lit("["), F.row_number().over(same.orderBy("node_id")).cast("string"), F.lit("]"))).otherwise(F.col("name"))
@@ -22,7 +23,7 @@ def with_paths(nodes: DataFrame, most: int = 64) -> DataFrame:
     out = level
     for depth in range(1, deepest + 1):
         above = level.select("doc_id", F.col("node_id").alias("parent_id"), F.col("path").alias("__path"), F.col("names").alias("__names"))
-        level = steps.where(F.col("depth") == depth).join(above, ["doc_id", "parent_id"])
+        level = steps.where(F.col("depth") == depth).join(above.hint("merge"), ["doc_id", "parent_id"])
         level = level.withColumns({"path": F.concat("__path", F.lit("/"), "__step"), "names": F.concat("__names", F.lit("/"), "name")}).select(*out.columns)
         out = out.unionByName(level)
     return out.drop("__step")

@@ -6,7 +6,8 @@ import pytest
 
 from arkivel.functions import description as D
 from arkivel.functions import generators, readers
-from arkivel.operators import decode, packages, transform, views
+from arkivel.operators import decode, packages, paths, transform, views
+from arkivel.plans.data import VARIABLE
 
 DATA = struct.pack(">HB", 2, 1) + struct.pack("<q", -5) + struct.pack(">BB", 2, 3) + b"abc"
 
@@ -44,6 +45,13 @@ def test_lines_end_outside_quotes():
     assert [[c.value for c in r.children] for r in root.children] == [["1", 'x\r\ny "z"'], ["", ""]]
 
 
+def test_levels_of_paths_are_not_broadcast(spark):
+    files = spark.createDataFrame([(str(i), bytearray(DATA)) for i in range(3)], "path string, content binary")
+    found = paths.with_paths(decode.nodes(files, VARIABLE))
+    assert found.where("path = '/file/entry[2]/body/text/value' and value = 'abc'").count() == 3 and found.count() == 36
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bytes_compared():
     assert decode.compared(b"abcd", b"abXd") == (1, 2) and decode.compared(b"ab", b"abc") == (1, 2) and decode.compared(b"", b"") == (0, -1)
 
