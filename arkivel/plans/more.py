@@ -362,8 +362,7 @@ def union_of_graphs(spark, sf_dir):
 def turtle_round_trip(spark, sf_dir):
     """Triples written as Turtle text and read again."""
     data = T.projected(spark, sf_dir, ("customer",)).where(F.regexp_extract("s", r"(\d+)$", 1).try_cast("bigint") >= 0)
-    lines = [r[0] for r in T.to_turtle(data).collect()]  # the text of a small export
-    again = T.read_turtle(spark, "\n".join(lines))
+    again = T.read_turtle_lines(T.to_turtle(data))
     return again.agg(F.count_if(F.col("p") == V.TYPE).alias("customers"), F.countDistinct(F.when(F.col("p") == E + "inNation", F.col("o"))).alias("nations"))
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -232,6 +234,30 @@ def read_turtle(spark: SparkSession, text: str, graph: str = "data") -> DataFram
     return spark.createDataFrame([(graph, *r) for r in Turtle(text).parse()], SCHEMA).dropDuplicates(COLUMNS)
 
 
+def read_turtle_lines(lines: DataFrame, graph: str = "data") -> DataFrame:
+    """The triples of lines of Turtle (value) that each hold whole statements, as to_turtle() writes them; lines stay where they are.
+
+    A line that needs others or a name of its own (directives, prefixed names, [] and lists) is refused: that is for
+    read_turtle(), which takes a document as one text. A syntax error fails the whole read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(0).to_pylist()
+            for i in range(0, len(values), 5_000):
+                rows: list[tuple] = []
+                for value in values[i : i + 5_000]:
+                    doc = Turtle(value)
+                    rows += doc.parse()
+                    if doc.blanks or doc.prefixes or doc.base:
+                        raise ValueError(f"Turtle: not a line of its own: {value[:80]!r}")
+                if rows:
+                    cols = [[graph] * len(rows), *zip(*rows, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], COLUMNS)
+
+    return lines.select("value").mapInArrow(run, SCHEMA).dropDuplicates(COLUMNS)
+
+
 def to_turtle(graph: DataFrame) -> DataFrame:
     """One line of text per triple, in the order of subject, property and object."""
     quoted = F.concat(F.lit('"'), F.replace(F.replace(F.replace(F.replace(F.col("o"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit('"'))

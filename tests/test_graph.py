@@ -45,6 +45,23 @@ def test_turtle_round_trip(spark, graph):
     assert T.without(graph.where("s_kind = 'iri' and o_kind <> 'bnode'"), again).isEmpty()
 
 
+def test_turtle_lines_stay_on_executors(spark, graph, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from arkivel.plans import more
+
+    some = graph.where("s_kind = 'iri' and o_kind <> 'bnode'")
+    again = T.read_turtle_lines(T.to_turtle(some))
+    assert T.without(some, again).isEmpty() and T.without(again, some).isEmpty()
+    for line in ("<x:a> <x:b> [] .", "@prefix x: <x:> .", "<x:a> <x:b> <x:c>", "<x:a> x:b <x:c> ."):
+        with pytest.raises(Exception, match="Turtle"):
+            T.read_turtle_lines(spark.createDataFrame([(line,)], "value string")).collect()
+    with monkeypatch.context() as m:
+        m.setattr(DataFrame, "collect", lambda self: pytest.fail("the triples are collected"))
+        counted = more.turtle_round_trip(spark, "/root/testdata/sf0.001")
+    assert counted.first().customers > 0
+
+
 def test_closure_on_a_circle(spark, graph):
     edges = G.path(graph, [V.EX + "next"])
     found = G.closure(edges, spark.createDataFrame([(V.EX + "a",)], "node string")).orderBy("depth").collect()
