@@ -45,9 +45,9 @@ def test_lines_end_outside_quotes():
     assert [[c.value for c in r.children] for r in root.children] == [["1", 'x\r\ny "z"'], ["", ""]]
 
 
-def test_levels_of_paths_are_not_broadcast(spark):
-    files = spark.createDataFrame([(str(i), bytearray(DATA)) for i in range(3)], "path string, content binary")
-    found = paths.with_paths(decode.nodes(files, VARIABLE))
+def test_levels_of_paths_are_not_broadcast(spark, tmp_path):
+    spark.createDataFrame([(str(i), bytearray(DATA)) for i in range(3)], "path string, content binary").write.parquet(f"{tmp_path}/files")
+    found = paths.with_paths(decode.nodes(spark.read.parquet(f"{tmp_path}/files"), VARIABLE))
     assert found.where("path = '/file/entry[2]/body/text/value' and value = 'abc'").count() == 3 and found.count() == 36
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
 
