@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: The white space between words, as a regular expression class.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Spark's setting by which a query's shuffle files are removed at its end.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,11 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
-    This cuts the lineage: a lost executor costs the tasks of one step, never earlier steps.
+    This cuts the lineage: a lost executor costs the tasks of one step, never earlier steps. The shuffle files of the
+    step go as soon as it is written; without SHUFFLES_GO they would stay until the driver's heap is collected.
     """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/arkivel-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
+    before = spark.conf.get(SHUFFLES_GO)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(at)
+    finally:
+        spark.conf.set(SHUFFLES_GO, before)
     out = spark.read.schema(df.schema).parquet(at)
     out._written_at = at
     return out

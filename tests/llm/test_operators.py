@@ -56,6 +56,22 @@ def test_fingerprint_classes(docs, rows):
     assert all(r.class_id == want[r.doc_id] for r in got[got.doc_id.notna()].itertuples())
 
 
+def test_shuffle_files_go_with_the_written_step(spark):
+    import time
+
+    from arkivel.llm.common import SHUFFLES_GO, materialize
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {b for b in disk.getAllBlocks().mkString(",").split(",") if b.startswith("shuffle_")}
+    before, was = shuffled(), spark.conf.get(SHUFFLES_GO)
+    made = materialize(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count(), "test")
+    until = time.time() + 10
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert spark.conf.get(SHUFFLES_GO) == was and made.count() == 100
+
+
 def test_fingerprint_query_has_classes(docs, rows, tmp_path):
     from arkivel.llm.queries import op7_fingerprints
 
